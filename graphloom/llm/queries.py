@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, exact_dedup
+from graphloom.llm import chat_format, exact_dedup, langid, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op7_quality": quality.op7_quality,
+        "op8_language_id": langid.op8_language_id,
     }
 
 
