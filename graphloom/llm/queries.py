@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, exact_dedup, langid, quality, toxicity
+from graphloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op5_packing": packing.op5_packing,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_quality": quality.op7_quality,
         "op8_language_id": langid.op8_language_id,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
