@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, packing, quality, toxicity
+from graphloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_quality": quality.op7_quality,
         "op8_language_id": langid.op8_language_id,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op3_chat_format": chat_format.OP3_SQL,
+        "op9_line_dedup": line_dedup.OP9_SQL,
     }
