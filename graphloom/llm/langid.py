@@ -103,13 +103,14 @@ def classify(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: tu
     small_batches(spark)
     languages, table = model
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(table.T))
-    frame = documents.select(*keep, F.col(text).alias("_text"))
+    source = text if text in keep else "_text"
+    frame = documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("_text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_column = shared.value
         for batch in batches:
             predicted, scores = [], []
-            for one in batch.column("_text").to_pylist():
+            for one in batch.column(source).to_pylist():
                 symbols = letters(one or "")
                 if not symbols.size or not languages:
                     predicted.append(UNKNOWN)

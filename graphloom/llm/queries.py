@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, packing, quality, toxicity
+from graphloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, packing, pii, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_pii_surrogates": pii.op4_pii_surrogates,
         "op5_packing": packing.op5_packing,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_quality": quality.op7_quality,
