@@ -22,6 +22,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from zlib import crc32
@@ -36,8 +38,8 @@ from graphloom.llm.common import read, scratch, small_batches
 
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
-#: Units of text whose ids a worker keeps.
-MEMO = 500_000
+#: Units of text, and words, whose ids a worker keeps.
+MEMO = 700_000
 
 
 @cache
@@ -48,27 +50,58 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_MEMO: dict[str, dict[str, bytes]] = {}
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+#: By tokenizer: ids of units as they stand in texts, and of the words and marks they are made of.
+_MEMO: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+MARKS = ".,;:!?*%&$#|()\""
+
+
+def _parts(unit: str) -> tuple[str, ...]:
+    """A unit as a lower-case word and the marks after it, where the tokenizer takes it apart so anyway.
+
+    That is sure for Latin-1 letters, which its normalisation leaves alone, before marks
+    that are no apostrophe; any other unit stays whole.
+    """
+    word = unit.rstrip(MARKS)
+    if not word.isalpha() or max(word) > "\xff":
+        return (unit,)
+    return (word.lower(), unit[len(word) :]) if len(word) < len(unit) else (word.lower(),)
+
+
+def _encode_parts(parts: list[str], memo: dict[str, bytes], path: str) -> None:
+    for at in range(0, len(parts), 20_000):
+        some = parts[at : at + 20_000]
+        for part, found in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
+            memo[part] = _bytes(found.ids)
 
 
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
     The tokenizer never joins what white space parts, so texts are taken apart at
-    spaces and newlines and each distinct unit is encoded once.
+    spaces and newlines, and each distinct word is encoded once while it is remembered.
     """
-    memo = _MEMO.setdefault(path, {})
+    units_memo, parts_memo = _MEMO.setdefault(path, ({}, {}))
     for text in texts:
         units = text.replace("\n", " ").split(" ")
-        if new := [u for u in dict.fromkeys(units) if u not in memo]:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(units))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for unit, found in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    memo[unit] = np.array(found.ids, "<u4").tobytes()
-        yield b"".join([memo[u] for u in units])
+        found = list(map(units_memo.get, units))
+        if None in found:
+            if len(units_memo) > MEMO:
+                units_memo.clear()
+            if len(parts_memo) > MEMO:
+                parts_memo.clear()
+            made = {u: _parts(u) for u in dict.fromkeys(units) if u not in units_memo}
+            _encode_parts(list(dict.fromkeys(p for parts in made.values() for p in parts if p not in parts_memo)), parts_memo, path)
+            for unit, parts in made.items():
+                units_memo[unit] = b"".join([parts_memo[p] for p in parts])
+            found = map(units_memo.__getitem__, units)
+        yield b"".join(found)
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
