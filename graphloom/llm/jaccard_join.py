@@ -5,17 +5,19 @@ link when their Jaccard similarity reaches a threshold; the result is each
 document's linked component. The work goes in steps that each grow with the input:
 
 1. Sets with the same content are one (by a 64-bit key), so copies cost nothing more.
-2. A sketch counts tokens. In a fixed order, rare tokens first, two sets that
-   link must share one of their first ``n - ceil(t n) + 1`` tokens, so only these are
-   shuffled, and only those that two sets share live on.
-3. Each set is compared with the pivot of its most widely shared token. What
-   links forms groups of similar sets.
-4. The token-group matrix holds, for each shared token, the groups that have it.
-   A set queries the groups of the tokens it shares, other than its own and in
-   the direction of the larger group, if their sizes allow a link.
-5. A qualifying group is opened chunk by chunk: the overlap of the query with the chunk's
-   token union bounds its overlap with every member, and only where that bound
-   reaches the threshold are members' overlaps counted, all at once. One link joins the groups.
+2. A sketch counts tokens. In a fixed order, rare tokens first, each set gives its first
+   ``n - ceil(t n) + 1`` tokens, and only those that two sets share live on. Two sets of sizes
+   n and m that link share at least ``ceil(t / (1 + t) (n + m)) - ceil(t max(n, m)) + 1`` of these.
+3. Sets are partitioned into groups by the most widely shared token they have, and by size. The
+   token-group matrix holds, for each shared token, the groups whose members have it. How many of its
+   tokens a group's column holds bounds what a set can share with any member, so a set and
+   a group qualify only if that reaches the least number for the sizes there are. Only sets with a
+   qualifying group have their tokens fetched.
+4. Each is compared with its group's pivot; what links is settled. Then qualifying groups are opened:
+   by unsettled sets their own, by all sets those of others, in the direction of the larger group.
+5. A group is opened chunk by chunk: the overlap of the query with the chunk's whole token union
+   bounds its overlap with every member, and only where that reaches the threshold
+   are members' overlaps counted, all at once.
 6. Components come from alternating large-star and small-star steps.
 
 The sketch only sets an order, so its errors cost time and never a link. Hot
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,9 @@ SLICE = 1024
 #: Bits of the filter that keeps sets without partners from being shuffled; one that fills up only keeps fewer back.
 FILTER_BITS = 1 << 24
 CHUNK = 256
-SALT_ROWS = 4000
+SALTS, SALT_ROWS = 4096, 4000
+#: Sizes in a group differ by at most this factor.
+SIZE_STEP = 1.05
 #: Bytes of a text that are hashed at once.
 SPAN = 1 << 20
 
@@ -159,13 +164,13 @@ def keys_and_counts(documents: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(documents: DataFrame, words: int, over: int, under: int, sketch) -> DataFrame:
-    """token, key, hot: the first tokens of each set, rare ones first; ``hot`` marks the very common."""
+    """token, key, salt: the first tokens of each set, rare ones first; ``salt`` is 0 but for the very common, which it spreads."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
         limit = 2 * counts.mean() + 10_000
         for batch in batches:
-            tokens_out, keys_out, hot_out = [], [], []
+            tokens_out, keys_out, salts_out = [], [], []
             for tokens in _sets(batch, words):
                 if not tokens.size or (key := set_key(tokens)) in seen:
                     continue
@@ -176,11 +181,11 @@ def prefixes(documents: DataFrame, words: int, over: int, under: int, sketch) ->
                 first = np.lexsort((tokens, common))[: tokens.size - need + 1]
                 tokens_out.append(tokens[first])
                 keys_out.append(np.full(first.size, key, np.int64))
-                hot_out.append(common[first] > limit)
+                salts_out.append(np.where(common[first] > limit, 1 + key % SALTS, 0).astype(np.int32))
             if tokens_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens_out, keys_out, hot_out)], names=["token", "key", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens_out, keys_out, salts_out)], names=["token", "key", "salt"])
 
-    return documents.mapInArrow(task, "token long, key long, hot boolean")
+    return documents.mapInArrow(task, "token long, key long, salt int")
 
 
 def wanted_sets(documents: DataFrame, words: int, wanted) -> DataFrame:
@@ -235,17 +240,19 @@ def _pivot_task(over: int, under: int):
 
 def _group_task(over: int, under: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group and chunk, members before queries."""
+        """Rows come sorted by group and chunk, members before queries. A query gets one link to each label it links with."""
         at = union = tokens = owner = sizes = None
         members: list[np.ndarray] = []
+        labels: list[int] = []
         for batch in batches:
             a, b = [], []
-            for group, chunk, role, key, held in zip(*(batch.column(c).to_pylist() for c in ("grp", "chunk", "role", "key", "tokens")), strict=True):
+            for group, chunk, role, label, held in zip(*(batch.column(c).to_pylist() for c in ("grp", "chunk", "role", "label", "tokens")), strict=True):
                 found = np.frombuffer(held, np.int64)
                 if at != (group, chunk):
-                    at, members, union = (group, chunk), [], None
+                    at, members, labels, union = (group, chunk), [], [], None
                 if role == 0:
                     members.append(found)
+                    labels.append(label)
                     continue
                 if not members:
                     continue
@@ -258,9 +265,10 @@ def _group_task(over: int, under: int):
                     continue
                 place = np.minimum(np.searchsorted(found, tokens), found.size - 1)
                 shared = np.bincount(owner[found[place] == tokens], minlength=len(members))
-                if _links(shared, found.size, sizes, over, under).any():
-                    a.append(key)
-                    b.append(group)
+                for other in {labels[i] for i in np.flatnonzero(_links(shared, found.size, sizes, over, under))}:
+                    if other != label:
+                        a.append(label)
+                        b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return task
@@ -307,45 +315,54 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, doc_id: str =
     sketch = spark.sparkContext.broadcast(counts)
 
     # the rows of hot tokens are shared without asking and spread by a salt, so that none of them meet in one task
-    rows = prefixes(texts, words, over, under, sketch).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(0))
     by_token = Window.partitionBy("token", "salt")
-    rows = rows.withColumn("lo", F.min("key").over(by_token)).withColumn("hi", F.max("key").over(by_token))
-    shared = scratch(spark, rows.filter("hot or lo <> hi").select("token", "key"), "shared")
-
-    tokens = shared.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("pivot"))
-    nearest = shared.join(tokens, "token").groupBy("key").agg(F.max(F.struct("df", "token", "pivot")).alias("best")).select("key", F.col("best.pivot").alias("pivot"))
-    nearest = scratch(spark, nearest, "pivots")
-    found = wanted_sets(texts, words, _filter_of(spark, nearest.select("key")))
-    sets = found.join(nearest.select("key"), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    rows = prefixes(texts, words, over, under, sketch).withColumn("lo", F.min("key").over(by_token)).withColumn("hi", F.max("key").over(by_token))
+    shared = scratch(spark, rows.filter("salt > 0 or lo <> hi").select("token", "key").distinct(), "shared")
+
+    frequent = shared.groupBy("token").agg(F.count("*").alias("df"))
+    placed = shared.join(frequent, "token").groupBy("key").agg(F.max(F.struct("df", "token")).alias("best")).select("key", F.col("best.token").alias("own"))
+    sizes = keys.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"))
+    # sets of like size only are in one group: the closer the sizes, the more a link must share
+    placed = placed.join(sizes, "key").select("key", "n", F.xxhash64("own", F.floor(F.log("n") / log(SIZE_STEP))).alias("own"))
+    placed = scratch(spark, placed, "placed_sets")
+    spans = placed.groupBy(F.col("own").alias("grp")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = shared.join(placed, "key")
+    matrix = rows.groupBy("token", F.col("own").alias("grp")).agg(F.count("*").alias("members"))
+    bound = rows.join(matrix, "token").filter("own <> grp or members > 1").groupBy("key", "own", "n", "grp").agg(F.count("*").alias("common")).join(spans, "grp")
+    a, b = F.greatest(F.col("least"), F.ceil(F.col("n") * over / under)), F.least(F.col("most"), F.floor(F.col("n") * under / over))
+
+    def least_common(m):
+        """One less than the bound, as its smallest value is at an end of the sizes' range but for rounding."""
+        need = lambda x: F.ceil(x * over / under)
+        return F.ceil((F.col("n") + m) * over / (over + under)) - F.greatest(need(F.col("n")), need(m))
+
+    qualifying = scratch(spark, bound.filter((a <= b) & (F.col("common") >= F.least(least_common(a), least_common(b)))).select("key", "own", "grp"), "qualifying")
+
+    live = qualifying.select("key", "own").distinct()
+    found = wanted_sets(texts, words, _filter_of(spark, live.select("key")))
+    sets = found.join(live, "key").groupBy("key").agg(F.first("own").alias("own"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = scratch(spark, sets, "sets")
 
-    salts = nearest.groupBy("pivot").agg(F.ceil(F.count("*") / SALT_ROWS).cast("long").alias("salts"))
-    members = nearest.filter("key <> pivot").join(salts, "pivot").select("key", "pivot", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"))
-    compared = members.join(sets, "key").select("pivot", "salt", F.lit(1).alias("role"), "key", "tokens")
-    own = salts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets, F.col("pivot") == F.col("key")).select("pivot", "salt", F.lit(0).alias("role"), "key", "tokens")
-    starred = compared.unionByName(own).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").mapInArrow(_pivot_task(over, under), "a long, b long")
-    stars = components(spark, starred)
-
-    labelled = sets.select("key", "n").join(stars, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("root", "key").alias("grp"))
-    labelled = scratch(spark, labelled, "groups")
-    sizes = labelled.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    rows = shared.select("token", "key").distinct().join(labelled, "key").join(sizes, "grp")
-    crossing = rows.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1").select("token")
-    rows = scratch(spark, rows.join(crossing, "token", "left_semi"), "crossing")
-    matrix = rows.select("token", F.col("grp").alias("other"), F.col("size").alias("other_size"), "least", "most").distinct()
-    queries = rows.select("token", "key", "n", "grp", "size").join(matrix, "token").filter(
-        (F.col("grp") != F.col("other")) & (F.struct("size", "grp") < F.struct(F.col("other_size").alias("size"), F.col("other").alias("grp"))) & (F.col("n") * over <= F.col("most") * under) & (F.col("least") * over <= F.col("n") * under)
-    )
-    queries = scratch(spark, queries.select("key", F.col("other").alias("grp"), F.ceil(F.col("other_size") / CHUNK).cast("long").alias("chunks")).distinct(), "queries")
-    opened = queries.groupBy("grp").agg(F.first("chunks").alias("chunks"))
-    inside = labelled.select("key", "grp").join(opened, "grp").select("key", "grp", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"))
-    asking = queries.select("key", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
+    groups = sets.groupBy("own").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("long"))
+    groups = scratch(spark, groups, "groups")
+    compared = sets.join(groups, "own").filter("key <> pivot").select("pivot", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), "key", "tokens")
+    own = sets.join(groups.select("pivot", "salts"), F.col("key") == F.col("pivot")).select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "key", "tokens")
+    starred = scratch(spark, compared.unionByName(own).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").mapInArrow(_pivot_task(over, under), "a long, b long"), "starred")
+    settled = starred.select(F.col("a").alias("key"), F.col("b").alias("pivot"))
+    # a pivot stands in one group only, so links to pivots are whole components
+    labelled = scratch(spark, sets.select("key", "own").join(settled, "key", "left").select("key", "own", F.coalesce("pivot", "key").alias("label"), F.col("pivot").isNotNull().alias("settled")), "labels")
+
+    of = groups.select(F.col("own").alias("grp"), F.col("size").alias("grp_size"), F.ceil(F.col("size") / CHUNK).cast("long").alias("chunks"))
+    asking = qualifying.join(labelled.select("key", "label", "settled"), "key").join(of, "grp").join(groups.select("own", F.col("size").alias("own_size"), "pivot"), "own")
+    inner = (F.col("own") == F.col("grp")) & ~F.col("settled") & (F.col("key") != F.col("pivot"))
+    outer = (F.col("own") != F.col("grp")) & (F.struct(F.col("own_size").alias("s"), F.col("own").alias("g")) < F.struct(F.col("grp_size").alias("s"), F.col("grp").alias("g")))
+    asking = scratch(spark, asking.filter(inner | outer).select("key", "label", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role")), "queries")
+    inside = labelled.join(of, F.col("own") == F.col("grp")).join(asking.select("grp").distinct(), "grp", "left_semi").select("key", "label", "grp", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"))
     rows = inside.unionByName(asking).join(sets.select("key", "tokens"), "key")
     joined = rows.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "role").mapInArrow(_group_task(over, under), "a long, b long")
-    between = joined.join(labelled.select(F.col("key").alias("a"), "grp"), "a").select(F.col("grp").alias("a"), "b")
-    merged = components(spark, between)
+    merged = components(spark, joined)
 
-    roots = labelled.join(merged, F.col("grp") == F.col("node"), "left").select(F.col("key").alias("_key"), F.coalesce("root", "grp").alias("root"))
+    roots = labelled.join(merged, F.col("label") == F.col("node"), "left").select(F.col("key").alias("_key"), F.coalesce("root", "label").alias("root"))
     placed = keys.join(roots, F.col("key") == F.col("_key"), "left").select("doc_id", "n", F.coalesce("root", "key").alias("comp"))
     placed = scratch(spark, placed, "placed")
     heads = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("head")).withColumnRenamed("comp", "_comp")
