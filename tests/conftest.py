@@ -8,12 +8,9 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
+sys.path.insert(0, str(ROOT / "tests"))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
-SMALL = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     at = tmp_path_factory.mktemp("spark")
@@ -35,27 +32,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def duck():
+    from helpers import SMALL, TABLES
+
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return con
-
-
-def plain(value):
-    if isinstance(value, float):
-        return None if value != value else round(value, 6)
-    if isinstance(value, (list, tuple)):
-        return tuple(plain(v) for v in value)
-    return value
-
-
-def same(frame, con, sql):
-    """Whether a DataFrame and a SQL text give the same rows under the same names."""
-    cursor = con.execute(sql)
-    names = [c[0] for c in cursor.description]
-    theirs = cursor.fetchall()
-    assert sorted(frame.columns) == sorted(names)
-    order = sorted(names)
-    mine = sorted((tuple(plain(r[c]) for c in order) for r in frame.collect()), key=repr)
-    assert mine == sorted((tuple(plain(r[names.index(c)]) for c in order) for r in theirs), key=repr)

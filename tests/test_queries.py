@@ -1,7 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import pytest
-from conftest import SMALL, same
+from helpers import SMALL, same
 
 import __spark_entry__
 from graphloom.plans import queries as Q
