@@ -240,8 +240,16 @@ def _pivot_task(over: int, under: int):
 
 def _group_task(over: int, under: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group and chunk, members before queries. A query gets one link to each label it links with."""
+        """Rows come sorted by group and chunk, members before queries. Of the links to labels, those are given out that join what a chunk's earlier ones have not: a forest."""
         at = union = tokens = owner = sizes = None
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
         members: list[np.ndarray] = []
         labels: list[int] = []
         for batch in batches:
@@ -250,6 +258,7 @@ def _group_task(over: int, under: int):
                 found = np.frombuffer(held, np.int64)
                 if at != (group, chunk):
                     at, members, labels, union = (group, chunk), [], [], None
+                    parent.clear()
                 if role == 0:
                     members.append(found)
                     labels.append(label)
@@ -266,7 +275,9 @@ def _group_task(over: int, under: int):
                 place = np.minimum(np.searchsorted(found, tokens), found.size - 1)
                 shared = np.bincount(owner[found[place] == tokens], minlength=len(members))
                 for other in {labels[i] for i in np.flatnonzero(_links(shared, found.size, sizes, over, under))}:
-                    if other != label:
+                    x, y = root(label), root(other)
+                    if x != y:
+                        parent[x] = y
                         a.append(label)
                         b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
