@@ -6,9 +6,10 @@ there are. Over it stands the linear program whose variables are configurations
 (multisets of lengths that fit a sequence) and whose rows demand every length as
 often as it occurs. It is solved by multiplicative weights: lengths still short
 of their share get heavier, and a knapsack dynamic program finds the heaviest
-configuration under the current weights. The fractional solution is rounded down
-configuration by configuration; what is left over, a number of pieces bounded by
-the number of configurations, is placed best-fit decreasing.
+configurations under the current weights, until all demand is met. The fractional
+solution is rounded configuration by configuration; what is left over, at most as
+many sequences as there are configurations, is placed best-fit decreasing, in
+the room that configurations leave first.
 
 The plan (configuration, first sequence, how many) stays small, so pieces find
 their places in parallel: a piece's rank among those of its length, counted by
@@ -24,7 +25,7 @@ from __future__ import annotations
 import os
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from zlib import crc32
 
@@ -127,79 +128,129 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_i
     return frame.mapInArrow(task, ", ".join(f"{n} long" for n in names))
 
 
-def heaviest(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is taken by the heaviest multiset that fits: an unbounded knapsack."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def fillings(lengths: np.ndarray, weights: np.ndarray, capacity: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """By room: the weight of the heaviest multiset that fits, and how often it takes each length.
+
+    An unbounded knapsack; with ``limit``, no length is taken more often than that,
+    and the best extension of the smaller rooms' multisets is kept.
+    """
+    best, counts = np.zeros(capacity + 1), np.zeros((capacity + 1, lengths.size), np.int16)
+    every = np.arange(lengths.size)
     for room in range(int(lengths[0]), capacity + 1):
-        fits = np.searchsorted(lengths, room, side="right")
-        values = weights[:fits] + best[room - lengths[:fits]]
+        fits = int(np.searchsorted(lengths, room, side="right"))
+        before = room - lengths[:fits]
+        values = weights[:fits] + best[before]
+        if limit is not None:
+            values[counts[before, every[:fits]] >= limit[:fits]] = -1.0
         k = int(values.argmax())
         if values[k] > best[room - 1]:
-            best[room], last[room] = values[k], k
-        else:
-            best[room] = best[room - 1]
-    taken, room = np.zeros(lengths.size, np.int64), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
+            best[room], counts[room] = values[k], counts[room - lengths[k]]
+            counts[room, k] += 1
         else:
-            taken[last[room]] += 1
-            room -= lengths[last[room]]
-    return taken
+            best[room], counts[room] = best[room - 1], counts[room - 1]
+    return best, counts
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 160, step: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
-    """Configurations (a row each) and how often the fractional solution uses each.
+def heaviest(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each length is taken by the heaviest multiset that fits."""
+    return fillings(lengths, weights, capacity)[1][capacity].astype(np.int64)
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None, near: float = 0.01) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Configurations (indices of lengths, how often each) and how often the fractional solution uses each.
 
     Multiplicative weights on the covering program: the weight of a length falls as
-    the share of its demand that is met grows, and each round buys as much of the
-    heaviest configuration as meets the scarcest of its lengths by one step.
+    the share of its demand that is met grows, and one that is met takes no further part,
+    so nothing is covered too often. One knapsack gives the heaviest
+    configuration around every length; each round buys the heaviest and those nearly as
+    heavy that share no length with it or each other, each as far as it meets the scarcest
+    of its lengths by one step. It ends when all are met, or after ``rounds``: every
+    round brings a length one step on, and the fewer lengths, the finer the steps.
     """
-    met = np.zeros(lengths.size)
-    taken: dict[bytes, list] = {}
-    for _ in range(rounds):
-        weights = np.exp(-(met - met.min())) / demand
-        found = heaviest(lengths, weights / weights.max(), capacity)
-        use = found > 0
-        amount = step * float((demand[use] / found[use]).min())
-        met += amount * found / demand * (8 / step)
-        entry = taken.setdefault(found.tobytes(), [found, 0.0])
-        entry[1] += amount
-    table, amounts = np.array([e[0] for e in taken.values()]), np.array([e[1] for e in taken.values()])
-    covered = amounts @ table
-    return table, amounts / (covered / demand).max()
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 160) -> list[tuple[dict[int, int], int]]:
-    """(length -> how many, sequences of that kind): every piece of the histogram has a place."""
-    full = histogram.get(capacity, 0)
-    out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
-    left = {k: n for k, n in histogram.items() if k < capacity and n > 0}
-    # each pass solves the program for what is left and takes the whole part of it
-    while len(left) > 0:
+    step = 1 / min(64, max(1, 2000 // lengths.size))
+    met, most = np.zeros(lengths.size), np.minimum(demand, capacity // lengths).astype(np.int16)
+    held: dict[bytes, list] = {}
+    done = 0
+    while (open_ := np.flatnonzero(met < 1 - 1e-6)).size and (rounds is None or done < rounds):
+        done += 1
+        # long ones weigh somewhat more than their share, so that short ones are left to fill up
+        weights = (lengths[open_] / capacity) ** 1.1 * np.exp(-2 * (met[open_] - met[open_].min()))
+        best, counts = fillings(lengths[open_], weights, capacity, most[open_])
+        at, room = np.arange(open_.size), capacity - lengths[open_]
+        values = np.where(counts[room, at] < most[open_], weights + best[room], 0.0)
+        free = np.ones(open_.size, bool)
+        for k in (-1, *(k for k in np.argsort(-values, kind="stable").tolist() if values[k] >= (1 - near) * best[capacity])):
+            row = counts[capacity if k < 0 else room[k]]
+            if k >= 0 and not free[k]:
+                continue
+            use = np.flatnonzero(row)
+            if not free[use].all():
+                continue
+            each = row[use].astype(np.int64)
+            if k >= 0:
+                if (found := np.flatnonzero(use == k)).size:
+                    each[found[0]] += 1
+                else:
+                    use, each = np.append(use, k), np.append(each, 1)
+            free[use] = False
+            which = open_[use]
+            amount = float((np.minimum(step, 1 - met[which]) * demand[which] / each).min())
+            met[which] += amount * each / demand[which]
+            order = np.argsort(which)
+            which, each = which[order], each[order]
+            held.setdefault(which.tobytes() + each.tobytes(), [which, each, 0.0])[2] += amount
+    return [(which, each) for which, each, _ in held.values()], np.array([amount for _, _, amount in held.values()])
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """What the program places, as (length -> how many, sequences of that kind), and the rest.
+
+    Each pass solves the program for what is left and rounds it: amounts in turn are
+    added up, and a configuration gets the whole numbers its share of the sum passes,
+    as far as its lengths last. The rest would fill no more sequences than there were configurations.
+    """
+    left = {k: n for k, n in histogram.items() if n > 0}
+    out: dict[tuple, int] = {}
+    most = 0
+    while sum(k * n for k, n in left.items()) > most * capacity:
         lengths = np.array(sorted(left))
-        demand = np.array([left[k] for k in lengths], float)
-        table, amounts = solve(lengths, demand, capacity, rounds)
-        progress = 0
-        for i in np.argsort(-(table @ lengths), kind="stable"):
-            use = table[i] > 0
-            n = min(int(np.floor(amounts[i] + 1e-9)), *(left[int(k)] // int(c) for k, c in zip(lengths[use], table[i][use], strict=True)))
+        demand = np.array([left[int(k)] for k in lengths])
+        found, amounts = solve(lengths, demand.astype(float), capacity, rounds)
+        most = len(found)
+        # full ones first, and those used often before those used rarely
+        fill = np.array([int(lengths[use] @ each) for use, each in found])
+        total, given = 0.0, 0
+        for i in np.lexsort((-amounts, -fill)):
+            total += float(amounts[i])
+            use, each = found[i]
+            n = min(int(total - given + 1e-9), int((demand[use] // each).min()))
             if n > 0:
-                out.append(({int(k): int(c) for k, c in zip(lengths[use], table[i][use], strict=True)}, n))
-                progress += n * int(table[i] @ lengths)
-                for k, c in out[-1][0].items():
-                    left[k] -= n * c
-        total = float(demand @ lengths)
-        left = {k: n for k, n in left.items() if n}
-        if progress < 0.5 * total:
+                given += n
+                demand[use] -= n * each
+                key = tuple(zip(lengths[use].tolist(), each.tolist(), strict=True))
+                out[key] = out.get(key, 0) + n
+        if not given:
             break
-    return out + best_fit(left, capacity)
+        left = {int(k): int(n) for k, n in zip(lengths, demand, strict=True) if n}
+    return [(dict(key), n) for key, n in out.items()], left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
+    """(length -> how many, sequences of that kind): every piece of the histogram has a place."""
+    full = histogram.get(capacity, 0)
+    out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    placed, left = configurations({k: n for k, n in histogram.items() if k < capacity}, capacity, rounds)
+    return out + best_fit(left, capacity, placed)
 
 
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit decreasing over a histogram, equal fillings in bulk: runs of one length go into the fullest bins that take them."""
+def best_fit(left: dict[int, int], capacity: int, begun: Iterable[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing over a histogram, equal fillings in bulk: runs of one length go into the fullest bins that take them, those ``begun`` among them."""
     bins: dict[int, list[tuple[dict[int, int], int]]] = {}  # room -> (filling, how many)
     rooms = np.zeros(capacity + 1, np.int64)
+    for filling, n in begun:
+        room = capacity - sum(length * each for length, each in filling.items())
+        bins.setdefault(room, []).append((filling, n))
+        rooms[room] += n
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:

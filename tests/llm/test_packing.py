@@ -67,3 +67,27 @@ def test_edge_cases(spark, docs):
     assert sorted(r["length"] for r in rows if r["doc_id"] in (1, 2)) == [1, 1, 1]
     assert sum(r["length"] for r in rows if r["doc_id"] == 3) == 30_001
     assert P.pack(spark, docs((1, "a")).limit(0), P.default_tokenizer()).count() == 0
+
+
+def test_program_places_most_of_many_lengths():
+    histogram = {k: 1 + k * 7919 % 400 for k in range(20, 512)}
+    tokens = sum(k * n for k, n in histogram.items())
+    placed, rest = P.configurations(histogram, 512)
+    got = dict(rest)
+    for filling, n in placed:
+        assert sum(k * c for k, c in filling.items()) <= 512
+        for k, c in filling.items():
+            got[k] = got.get(k, 0) + c * n
+    assert got == histogram
+    assert sum(k * n for k, n in rest.items()) < 0.1 * tokens
+
+
+def test_two_hot_lengths_are_packed_as_the_program_says():
+    # 650, 650, 700 as long as the 650s last, then pairs of 700; best-fit decreasing pairs the 700s first and takes 83,334
+    histogram = {700: 100_000, 650: 100_000, 60: 3, 3: 2}
+    packed = P.plan(histogram)
+    assert sum(n for _, n in packed) <= 75_000 * 1.01
+    # lengths that occur once do not hold back those that occur often
+    rare = {k: 1 for k in range(20, 1000, 49)}
+    _, rest = P.configurations({1100: 100_000, 940: 90_000} | rare)
+    assert sum(rest.values()) < 1_000
