@@ -82,7 +82,9 @@ def duplicate_lines(spark: SparkSession, documents: DataFrame, doc_id: str = "do
     near = halves.join(common, "key", "left_semi").select("first", "h1", "h2", "count", "key", (F.col("count") - F.floor(F.col("i") / 2)).cast("int").alias("cut"), F.when(F.col("i") % 2 == 0, "head").otherwise("tail").alias("side"))
     near = scratch(spark, near, "near_lines")
     sought = near.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1", "first").distinct()
-    texts = lines.withColumn("h1", F.xxhash64("line")).join(sought, ["doc_id", "line_no", "h1"]).select("first", "h1", F.split("line", " ", -1).alias("words")).dropDuplicates(["first", "h1"])
+    sought = sought.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), F.col("h1").alias("_h1"), "first")
+    at = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (F.col("h1") == F.col("_h1"))
+    texts = lines.withColumn("h1", F.xxhash64("line")).join(sought, at).select("first", "h1", F.split("line", " ", -1).alias("words")).dropDuplicates(["first", "h1"])
     texts = scratch(spark, texts, "near_texts")
 
     # the deletion neighbourhood of the half that may differ

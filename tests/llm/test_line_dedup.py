@@ -42,3 +42,14 @@ def test_against_brute_force(spark, docs):
     clean = {r["doc_id"]: r["text"] for r in L.without_duplicates(docs(*rows), L.duplicate_lines(spark, docs(*rows))).collect()}
     assert clean[2] == far and clean[3] == "" and clean[4] is None and clean[1] == rows[0][1]
     assert L.duplicate_lines(spark, docs((1, "a")).limit(0)).count() == 0
+
+
+def test_lines_of_a_null_id_take_part(spark, docs):
+    near, again = BASE.replace("four", "x"), BASE.replace("nine", "y")
+    rows = L.duplicate_lines(spark, docs((None, BASE + "\n" + near), (2, again), (3, BASE))).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"], r["kept"]) for r in rows} == {
+        (None, 0): (None, 0, True),
+        (None, 1): (None, 0, False),
+        (2, 0): (None, 0, False),
+        (3, 0): (None, 0, False),
+    }
