@@ -42,7 +42,7 @@ PATTERNS = {
     "name": r"(?<![\p{L}])(?:" + FORMS + r")\.? \p{Lu}[\p{L}'-]++(?![0-9])(?: \p{Lu}[\p{L}'-]++(?![0-9])){0,2}",
 }
 #: A cheap test that each text with an entity passes.
-HINT = r"[0-9@]|(?:" + FORMS + r")\.? \p{Lu}"
+HINT = r"[0-9@]|(?:" + FORMS + r")\.? \p{Lu}|AKIA[A-Z]{16}|(?:ghp_|sk-)[A-Za-z]{20}|[a-f]{32}|[A-F]{32}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 SYLLABLES = {

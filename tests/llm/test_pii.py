@@ -41,3 +41,10 @@ def test_whole_table_leaves_no_entity(spark):
         if not r["n_entities"]:
             assert r["text"] == src[r["doc_id"]]
     assert pii.pseudonymise(spark, spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)).count() == 0
+
+
+def test_secrets_without_digits_are_replaced(spark, docs):
+    secrets = ["sk-" + "abcdefGHIJ" * 3, "ghp_" + "klmnoPQRST" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "abcdefab" * 4, "ABCDEFAB" * 4]
+    out = run(spark, docs, *((i, f"the key is {s} there") for i, s in enumerate(secrets)))
+    for i, s in enumerate(secrets):
+        assert out[i]["n_entities"] == 1 and s not in out[i]["text"]
