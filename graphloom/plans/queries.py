@@ -566,12 +566,12 @@ def graph_f1(spark, d):
 
 @query()
 def betweenness(spark, d):
-    return structure.betweenness(Graph.of(_top_trade(spark, d))).select("id", "title", _six("score"))
+    return structure.betweenness(Graph.of(X.trade_edges(spark, d))).select("id", "title", _six("score"))
 
 
 @query()
 def laplacian_spectrum(spark, d):
-    return structure.laplacian_spectrum(Graph.of(_top_trade(spark, d))).select("at", _six("value"))
+    return structure.laplacian_spectrum(Graph.of(X.trade_edges(spark, d))).select("at", _six("value"))
 
 
 @query()

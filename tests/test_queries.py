@@ -22,3 +22,31 @@ def test_loops_match_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_spectrum_and_betweenness_take_all_trade_edges(spark):
+    import numpy as np
+
+    from graphloom.plans import fixtures as X
+
+    rows = X.trade_edges(spark, SMALL).collect()
+    names = sorted({r[c] for r in rows for c in ("src", "dst")})
+    a = np.zeros((len(names), len(names)))
+    for r in rows:
+        i, j = names.index(r["src"]), names.index(r["dst"])
+        a[i, j] = a[j, i] = 1.0
+    scale = 1 / np.sqrt(a.sum(axis=1))
+    want = np.linalg.eigvalsh(np.eye(len(names)) - scale[:, None] * a * scale[None, :])
+    got = [r["value"] for r in Q.QUERIES["laplacian_spectrum"](spark, SMALL).orderBy("at").collect()]
+    assert np.allclose(got, want, atol=1e-5)
+
+    np.fill_diagonal(a, 0)
+    n, between = len(names), np.zeros(len(names))
+    two = a @ a  # ways of two steps between nations without a link; no nation is further away
+    assert ((two > 0) | (a > 0) | np.eye(n, dtype=bool)).all()
+    for i in range(n):
+        for j in range(i):
+            if not a[i, j]:
+                between += a[i] * a[j] / two[i, j]
+    got = {r["id"]: r["score"] for r in Q.QUERIES["betweenness"](spark, SMALL).collect()}
+    assert np.allclose([got[v] for v in names], between / ((n - 1) * (n - 2) / 2), atol=1e-5)
