@@ -22,8 +22,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
-import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -31,6 +31,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,8 +40,12 @@ from graphloom.llm.common import read, scratch, small_batches
 
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
-#: Units of text, and words, whose ids a worker keeps.
+#: Words whose ids a worker keeps.
 MEMO = 700_000
+#: How often the program is solved for what is left of the histogram.
+PASSES = 3
+#: Lengths that occur less often than this are not taken more often by a configuration than they occur.
+RARE = 8
 
 
 @cache
@@ -51,58 +56,126 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _bytes(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+MARKS = ".,;:!?*%&$#|()\""
+#: What a tokenizer must do with text before its model for words to be encoded apart (fixed values).
+WORDWISE = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: A word of Latin-1 letters, which the tokenizer's normalisation leaves alone but for capitals.
+PLAIN = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
+#: Characters of text that are taken apart together, unless one text is longer.
+SPAN = 4_000_000
 
 
-#: By tokenizer: ids of units as they stand in texts, and of the words and marks they are made of.
-_MEMO: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
-MARKS = ".,;:!?*%&$#|()\""
+@cache
+def wordwise(path: str) -> bool:
+    """Whether this tokenizer never joins what white space parts, so that its words can be encoded apart."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    steps = {"normalizer": "normalizers", "pre_tokenizer": "pretokenizers"}
+    same = all((held.get(k) or {}).get(inner) == WORDWISE[k] for k, inner in steps.items())
+    plain = not (held.get("truncation") or held.get("padding")) and held["model"]["type"] == "BPE"
+    return same and plain and all(t["content"].startswith("<") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in held["added_tokens"])
+
+
+@cache
+def _letters(path: str) -> dict[int, str]:
+    """What the model sees in place of each Latin-1 letter beyond ASCII."""
+    step = _tokenizer(path).pre_tokenizer.pre_tokenize_str
+    return {c: "".join(part for part, _ in step(chr(c))) for c in range(0x80, 0x100) if chr(c).isalpha()}
 
 
-def _parts(unit: str) -> tuple[str, ...]:
-    """A unit as a lower-case word and the marks after it, where the tokenizer takes it apart so anyway.
+def _parts(units: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Units as lower-case words and the marks after them, where the tokenizer takes them apart so anyway.
 
-    That is sure for Latin-1 letters, which its normalisation leaves alone, before marks
-    that are no apostrophe; any other unit stays whole.
+    That is sure for plain words before marks that are no apostrophe; any other unit stays whole.
     """
-    word = unit.rstrip(MARKS)
-    if not word.isalpha() or max(word) > "\xff":
-        return (unit,)
-    return (word.lower(), unit[len(word) :]) if len(word) < len(unit) else (word.lower(),)
+    words = pc.utf8_rtrim(units, characters=MARKS)
+    plain = pc.match_substring_regex(words, PLAIN)
+    size = pc.subtract(pc.binary_length(units), pc.binary_length(words))  # marks are a byte each
+    longest = pc.max(size).as_py() or 0
+    marks = pa.repeat(pa.scalar("", units.type), len(units))
+    for n in range(1, min(longest, 8) + 1):
+        marks = pc.if_else(pc.equal(size, n), pc.utf8_slice_codeunits(units, -n), marks)
+    plain = pc.and_(plain, pc.less_equal(size, 8))
+    return pc.if_else(plain, pc.utf8_lower(words), units), pc.if_else(plain, marks, pa.scalar("", units.type))
+
+
+class _Memo:
+    """The ids of words and marks, end to end in one array; the first is the empty one."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.ends = array("I"), array("q", [0, 0])
+
+    def numbers(self, parts: pa.Array) -> np.ndarray:
+        """The number of each of these words; what is not remembered is encoded."""
+        held = parts.dictionary_encode()
+        words = held.dictionary.to_pylist()
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        # a plain lower-case word passes all steps before the model as it is, but for the letters that stand for bytes
+        whole, model, letters = _tokenizer(self.path).encode, _tokenizer(self.path).model.tokenize, _letters(self.path)
+        for word in fresh:
+            if word.isalpha() and word.islower() and (word.isascii() or max(word) <= "\xff"):
+                self.ids.extend([t.id for t in model(word if word.isascii() else word.translate(letters))])
+            else:
+                self.ids.extend(whole(word, add_special_tokens=False).ids)
+            known[word] = len(self.ends) - 1
+            self.ends.append(len(self.ids))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))[held.indices.to_numpy()]
+
+
+_MEMO: dict[str, _Memo] = {}
 
 
-def _encode_parts(parts: list[str], memo: dict[str, bytes], path: str) -> None:
-    for at in range(0, len(parts), 20_000):
-        some = parts[at : at + 20_000]
-        for part, found in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
-            memo[part] = _bytes(found.ids)
+def _together(texts: list[str], memo: _Memo) -> Iterator[bytes]:
+    """The ids of texts whose words are looked up together."""
+    if len(memo.known) > MEMO:
+        memo.forget()
+    split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+    units = split.flatten().dictionary_encode()
+    number = np.stack([memo.numbers(part) for part in _parts(units.dictionary)], axis=1)[units.indices.to_numpy()].ravel()
+    ends = np.frombuffer(memo.ends, np.int64)
+    start, count = ends[number], ends[number + 1] - ends[number]
+    after = np.concatenate([[0], np.cumsum(count)])
+    ids = np.frombuffer(memo.ids, np.uint32)[np.repeat(start - after[:-1], count) + np.arange(after[-1])].astype("<u4")
+    borders = after[2 * split.offsets.to_numpy().astype(np.int64)]
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        yield ids[a:b].tobytes()
 
 
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
-    The tokenizer never joins what white space parts, so texts are taken apart at
-    spaces and newlines, and each distinct word is encoded once while it is remembered.
+    Where the tokenizer never joins what white space parts, texts are taken apart at
+    spaces and newlines, and each distinct word is encoded once while it is remembered;
+    with any other tokenizer, whole texts are encoded.
     """
-    units_memo, parts_memo = _MEMO.setdefault(path, ({}, {}))
+    if not wordwise(path):
+        for text in texts:
+            yield np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return
+    if path not in _MEMO:
+        _MEMO[path] = _Memo(path)
+    held: list[str] = []
+    size = 0
     for text in texts:
-        units = text.replace("\n", " ").split(" ")
-        found = list(map(units_memo.get, units))
-        if None in found:
-            if len(units_memo) > MEMO:
-                units_memo.clear()
-            if len(parts_memo) > MEMO:
-                parts_memo.clear()
-            made = {u: _parts(u) for u in dict.fromkeys(units) if u not in units_memo}
-            _encode_parts(list(dict.fromkeys(p for parts in made.values() for p in parts if p not in parts_memo)), parts_memo, path)
-            for unit, parts in made.items():
-                units_memo[unit] = b"".join([parts_memo[p] for p in parts])
-            found = map(units_memo.__getitem__, units)
-        yield b"".join(found)
+        if held and size + len(text) > SPAN:
+            yield from _together(held, _MEMO[path])
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield from _together(held, _MEMO[path])
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,35 +201,68 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_i
     return frame.mapInArrow(task, ", ".join(f"{n} long" for n in names))
 
 
-def fillings(lengths: np.ndarray, weights: np.ndarray, capacity: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """By room: the weight of the heaviest multiset that fits, and how often it takes each length.
+def fillings(lengths: np.ndarray, weights: np.ndarray, capacity: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By room: the weight of the heaviest multiset that fits; the length it took last, if any; whether it can take one more of each.
 
-    An unbounded knapsack; with ``limit``, no length is taken more often than that,
+    An unbounded knapsack; with ``limit``, no rare length is taken more often than that,
     and the best extension of the smaller rooms' multisets is kept.
     """
-    best, counts = np.zeros(capacity + 1), np.zeros((capacity + 1, lengths.size), np.int16)
-    every = np.arange(lengths.size)
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    by_size, index = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    by_size[lengths], index[lengths] = weights, np.arange(lengths.size)
+    backwards = np.zeros(capacity + 1)  # best, from the end: rooms left by ever longer lengths stand side by side
+    # takings are counted of rare lengths only; what is in good supply is hardly taken up by one multiset
+    tight = np.zeros(0, np.int64) if limit is None else np.flatnonzero(limit < np.minimum(capacity // lengths, RARE))
+    column = np.full(lengths.size, -1)
+    column[tight] = np.arange(tight.size)
+    taken = np.zeros((capacity + 1, tight.size), np.int16)
+    fitting = np.searchsorted(lengths[tight], np.arange(capacity + 1), side="right").tolist()
+    most, sizes, columns = (limit[tight] if tight.size else tight), lengths[tight], np.arange(tight.size)
     for room in range(int(lengths[0]), capacity + 1):
-        fits = int(np.searchsorted(lengths, room, side="right"))
-        before = room - lengths[:fits]
-        values = weights[:fits] + best[before]
-        if limit is not None:
-            values[counts[before, every[:fits]] >= limit[:fits]] = -1.0
-        k = int(values.argmax())
-        if values[k] > best[room - 1]:
-            best[room], counts[room] = values[k], counts[room - lengths[k]]
-            counts[room, k] += 1
+        values = by_size[1 : room + 1] + backwards[capacity - room + 1 :]
+        if few := fitting[room]:
+            values[sizes[:few][taken[room - sizes[:few], columns[:few]] >= most[:few]] - 1] = -1.0
+        at = values.argmax()
+        if (value := values[at]) > best[room - 1]:
+            k = index[at + 1]
+            best[room], last[room] = value, k
+            if tight.size:
+                taken[room] = taken[room - at - 1]
+                if (c := column[k]) >= 0:
+                    taken[room, c] += 1
         else:
-            best[room], counts[room] = best[room - 1], counts[room - 1]
-    return best, counts
+            best[room], last[room] = best[room - 1], -1
+            if tight.size:
+                taken[room] = taken[room - 1]
+        backwards[capacity - room] = best[room]
+    able = np.ones(lengths.size, bool)
+    if tight.size:
+        able[tight] = taken[capacity - sizes, columns] < most
+    return best, last, able
+
+
+def filling(lengths: np.ndarray, last: np.ndarray, room: int) -> dict[int, int]:
+    """How often each length (by its place) is taken by the multiset that :func:`fillings` found for a room."""
+    out: dict[int, int] = {}
+    while room > 0:
+        k = int(last[room])
+        if k < 0:
+            room -= 1
+        else:
+            out[k] = out.get(k, 0) + 1
+            room -= int(lengths[k])
+    return out
 
 
 def heaviest(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
     """How often each length is taken by the heaviest multiset that fits."""
-    return fillings(lengths, weights, capacity)[1][capacity].astype(np.int64)
+    out = np.zeros(lengths.size, np.int64)
+    for k, n in filling(lengths, fillings(lengths, weights, capacity)[1], capacity).items():
+        out[k] = n
+    return out
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None, near: float = 0.01) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None, near: float = 0.04) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Configurations (indices of lengths, how often each) and how often the fractional solution uses each.
 
     Multiplicative weights on the covering program: the weight of a length falls as
@@ -175,23 +281,21 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int |
         done += 1
         # long ones weigh somewhat more than their share, so that short ones are left to fill up
         weights = (lengths[open_] / capacity) ** 1.1 * np.exp(-2 * (met[open_] - met[open_].min()))
-        best, counts = fillings(lengths[open_], weights, capacity, most[open_])
-        at, room = np.arange(open_.size), capacity - lengths[open_]
-        values = np.where(counts[room, at] < most[open_], weights + best[room], 0.0)
+        best, last, able = fillings(lengths[open_], weights, capacity, most[open_])
+        room = capacity - lengths[open_]
+        values = np.where(able, weights + best[room], 0.0)
         free = np.ones(open_.size, bool)
         for k in (-1, *(k for k in np.argsort(-values, kind="stable").tolist() if values[k] >= (1 - near) * best[capacity])):
-            row = counts[capacity if k < 0 else room[k]]
             if k >= 0 and not free[k]:
                 continue
-            use = np.flatnonzero(row)
+            row = filling(lengths[open_], last, capacity if k < 0 else int(room[k]))
+            use = np.array(list(row), np.int64)
             if not free[use].all():
                 continue
-            each = row[use].astype(np.int64)
             if k >= 0:
-                if (found := np.flatnonzero(use == k)).size:
-                    each[found[0]] += 1
-                else:
-                    use, each = np.append(use, k), np.append(each, 1)
+                row[k] = row.get(k, 0) + 1
+                use = np.array(list(row), np.int64)
+            each = np.array(list(row.values()), np.int64)
             free[use] = False
             which = open_[use]
             amount = float((np.minimum(step, 1 - met[which]) * demand[which] / each).min())
@@ -205,22 +309,28 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int |
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
     """What the program places, as (length -> how many, sequences of that kind), and the rest.
 
-    Each pass solves the program for what is left and rounds it: amounts in turn are
-    added up, and a configuration gets the whole numbers its share of the sum passes,
-    as far as its lengths last. The rest would fill no more sequences than there were configurations.
+    Each of ``PASSES`` solves the program for what is left and rounds the fuller half of
+    its solution, which is mostly full to the last place: amounts in turn are added up, and a
+    configuration gets the whole numbers its share of the sum passes, as far as its
+    lengths last. It ends early when the rest fills no more sequences than there were configurations.
     """
     left = {k: n for k, n in histogram.items() if n > 0}
     out: dict[tuple, int] = {}
     most = 0
-    while sum(k * n for k, n in left.items()) > most * capacity:
+    for _ in range(PASSES):
+        if sum(k * n for k, n in left.items()) <= most * capacity:
+            break
         lengths = np.array(sorted(left))
         demand = np.array([left[int(k)] for k in lengths])
         found, amounts = solve(lengths, demand.astype(float), capacity, rounds)
         most = len(found)
-        # full ones first, and those used often before those used rarely
+        # fullest first, and those used often before those used rarely
         fill = np.array([int(lengths[use] @ each) for use, each in found])
+        order = np.lexsort((-amounts, -fill))
+        upto = np.cumsum(amounts[order])
+        least = fill[order[int(np.searchsorted(upto, upto[-1] / 2))]]
         total, given = 0.0, 0
-        for i in np.lexsort((-amounts, -fill)):
+        for i in order[fill[order] >= least]:
             total += float(amounts[i])
             use, each = found[i]
             n = min(int(total - given + 1e-9), int((demand[use] // each).min()))
