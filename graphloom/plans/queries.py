@@ -272,7 +272,7 @@ _TOP_TRADE = "top AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER
 )
 def page_paths(spark, d):
     found = traverse.page_paths(X.taxonomy(spark, d).edges, "root", X.page_category(spark, d), 5)
-    return found.select("page_id", F.array_join(F.transform("paths", lambda p: F.array_join(p, ">")), "|").alias("paths"))
+    return found.select("page_id", F.array_join(F.array_sort(F.transform("paths", lambda p: F.array_join(p, ">"))), "|").alias("paths"))
 
 
 _PAGE_PATHS = f"""{X.TAXONOMY}, {X.PAGE_CATEGORY}, counts AS (SELECT page_id, count(*) AS n FROM page_category GROUP BY page_id)"""
