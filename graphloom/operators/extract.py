@@ -81,16 +81,47 @@ def transitions(events: DataFrame, by: str, order: list[str], state: str) -> Dat
     return edge_counts(events.select(F.lag(state).over(window).alias("src"), F.col(state).alias("dst")).filter("src is not null and dst is not null"))
 
 
-def tag_concepts(documents: DataFrame, concepts: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens", longest: int = 8) -> DataFrame:
+def tag_concepts(documents: DataFrame, concepts: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens", longest: int = 8, most_literals: int = 2000) -> DataFrame:
     """doc_id, at, length, concept: at each place the shortest concept that begins there; those within an earlier one are dropped.
 
     ``tokens`` are normalised words, ``concepts`` has ``concept`` as words parted by a space.
-    Starts are taken greedily from the left, so kept spans do not overlap.
+    Starts are taken greedily from the left, so kept spans do not overlap. Up to ``most_literals``
+    concepts are looked up in place, in a hash set, so nothing is exploded but what is
+    found; more are joined, with n-grams without their documents.
     """
-    n_grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - F.col("at"))), lambda n: F.struct(n.alias("length"), F.array_join(F.slice(F.col(tokens), F.col("at") + 1, n), " ").alias("concept")))
-    starts = documents.select(F.col(doc_id).alias("doc_id"), tokens, F.posexplode(tokens).alias("at", "_word")).select("doc_id", "at", F.inline(n_grams))
-    found = starts.join(concepts.select("concept").distinct(), "concept").groupBy("doc_id", "at").agg(F.min(F.struct("length", "concept")).alias("best"))
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("best.length").alias("length"), F.col("best.concept").alias("concept")))).alias("spans"))
+    known = concepts.select("concept").filter("concept is not null").distinct()
+    few = [r[0] for r in known.limit(most_literals + 1).collect()]
+    size, words = F.size(tokens), F.col(tokens)
+    first_words = sorted({c.split(" ")[0] for c in few})
+
+    def n_grams(at: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - at)), lambda n: F.struct(at.alias("at"), n.alias("length"), F.array_join(F.slice(words, at + 1, n), " ").alias("concept")))
+
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1))
+    if len(few) <= most_literals:
+        starts = F.filter(every, lambda i: F.get(words, i).isin(*first_words))
+        best = F.transform(starts, lambda i: F.get(F.filter(n_grams(i), lambda g: g["concept"].isin(*few)), F.lit(0)))
+        spans = documents.select(F.col(doc_id).alias("doc_id"), F.filter(best, lambda x: x.isNotNull()).alias("spans")).filter("size(spans) > 0")
+    else:
+        grams = documents.select(F.col(doc_id).alias("doc_id"), F.inline(F.flatten(F.transform(every, n_grams))))
+        found = grams.join(known, "concept").groupBy("doc_id", "at").agg(F.min(F.struct("length", "concept")).alias("best"))
+        spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("best.length").alias("length"), F.col("best.concept").alias("concept")))).alias("spans"))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,length:int,concept:string>>").alias("out"))
     kept = F.aggregate("spans", empty, lambda s, x: F.when(x["at"] >= s["end"], F.struct((x["at"] + x["length"]).alias("end"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"])
     return spans.select("doc_id", F.inline(kept))
+
+
+def bio_tags(documents: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """doc_id, tags: B where a span of :func:`tag_concepts` begins, I within it, O elsewhere; an id is one document."""
+    held = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct("at", "length"))).alias("_spans"))
+    begin = F.struct(F.lit(0).alias("left"), F.array().cast("array<string>").alias("tags"))
+
+    def step(state: Column, at: Column) -> Column:
+        length = F.try_element_at(F.col("_spans"), at)
+        left = F.when(length.isNotNull(), length - 1).otherwise(F.greatest(state["left"] - 1, F.lit(0)))
+        tag = F.when(length.isNotNull(), "B").when(state["left"] > 0, "I").otherwise("O")
+        return F.struct(left.alias("left"), F.concat(state["tags"], F.array(tag)).alias("tags"))
+
+    some = F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), begin, step, lambda s: s["tags"])
+    none = F.transform(F.col(tokens), lambda _: F.lit("O"))
+    return documents.join(held, F.col(doc_id) == F.col("_doc"), "left").select(F.col(doc_id).alias("doc_id"), F.when(F.col("_spans").isNull() | (F.size(tokens) == 0), none).otherwise(some).alias("tags"))
