@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators.similarity import precision_recall
+from graphloom.operators.tables import running
 
 
 def _literal(p: DataFrame, t: DataFrame) -> DataFrame:
@@ -36,9 +37,8 @@ def precision_recall_curve(scored: DataFrame, n_true: int) -> DataFrame:
     One pass over the distinct scores in place of pruning anew for each.
     """
     each = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    n, h = F.sum("n").over(down), F.sum("h").over(down)
-    return each.select("score", (h / n).alias("precision"), (F.try_divide(h, F.lit(n_true))).alias("recall"))
+    n, h = F.col("n"), F.col("h")
+    return running(each, F.desc("score"), "n", "h").select("score", (h / n).alias("precision"), (F.try_divide(h, F.lit(n_true))).alias("recall"))
 
 
 def average_precision(curve: DataFrame, by: list[str] | None = None) -> DataFrame:

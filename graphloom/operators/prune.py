@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import ROOT
 from graphloom.graph import Graph, endpoints
+from graphloom.operators.tables import numbered
 
 
 @dataclass(frozen=True)
@@ -24,15 +25,8 @@ class Settings:
 
 
 def weight_ranks(edges: DataFrame) -> DataFrame:
-    """Adds ``rank``: the place (from 1) in the order by weight, src, dst.
-
-    A running count over the distinct weights, plus the place among equal weights:
-    nothing is sorted in one task but one row for each distinct weight.
-    """
-    counts = edges.groupBy("weight").agg(F.count("*").alias("_n"))
-    below = counts.select(F.col("weight").alias("_w"), (F.sum("_n").over(Window.orderBy("weight")) - F.col("_n")).alias("_below"))
-    place = F.row_number().over(Window.partitionBy("weight").orderBy("src", "dst"))
-    return edges.withColumn("_place", place).join(below, F.col("weight").eqNullSafe(F.col("_w"))).withColumn("rank", F.col("_below") + F.col("_place")).drop("_w", "_below", "_place")
+    """Adds ``rank``: the place (from 1) in the order by weight, src, dst, counted over sorted ranges, none of which holds all edges."""
+    return numbered(edges, "weight", "src", "dst", name="rank").withColumn("rank", F.col("rank") + 1)
 
 
 def outgoing_shares(edges: DataFrame) -> DataFrame:

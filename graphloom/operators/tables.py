@@ -81,6 +81,22 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "at") -> DataFra
     return spread.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
+def running(rows: DataFrame, order: Column, *values: str) -> DataFrame:
+    """Each of ``values`` in place replaced by its running sum in an order without ties.
+
+    Sorted ranges are summed up side by side, and the sums of earlier ranges are added.
+    """
+    from graphloom.runtime import materialise
+
+    spread = materialise(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = spread.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = totals.select("_part", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = spread.select("_part", *[(F.sum(c).over(own) if c in values else F.col(c)).alias(c) for c in rows.columns])
+    return inside.join(F.broadcast(before), "_part").select(*[(F.col(c) + F.col(f"_{c}") if c in values else F.col(c)).alias(c) for c in rows.columns])
+
+
 def shards(rows: DataFrame, text: Column, size: int, *order: str | Column) -> DataFrame:
     """shard, text: so many texts each, in order, joined by a newline."""
     placed = numbered(rows.withColumn("_text", text), *order).withColumn("shard", F.floor(F.col("at") / size))
