@@ -1,22 +1,31 @@
-"""Line deduplication by a deletion-neighbourhood join over words.
+"""Line deduplication by a deletion-neighbourhood join over words and characters.
 
-Lines count as the same when their word sequences are within the edit bound: equal,
-or, for lines of at least ``min_words`` words, one word put in, left out or replaced.
-The earliest (by document id, then line number) stays, and every later line that
-has an earlier one within the bound goes; which, is reported. Built-in functions only:
+Two lines count as the same when they are equal or one edit apart, an edit being a unit
+put in, left out or replaced. Units are words where both lines have ``min_words`` words or
+more, and characters where both have fewer words but ``min_chars`` characters or more; in
+both cases that is a tenth of the line at most. Lines with fewer characters must be equal.
+The earliest line (by document id, then line number) stays, and every later line that has
+an earlier one within the bound goes; which, is reported. Built-in functions only:
 
 1. Equal lines become one, by a 128-bit hash, with their earliest place; pre-aggregation
    leaves one row for a task and line however often it occurs.
-2. An edit leaves one half of a line whole (halves are cut by the shorter line's
-   length, so a longer line is cut for both lengths). Lines whose halves nobody shares are done.
-3. For the others, the half that may differ is emitted with each of its words
-   deleted in turn, as hashed keys: two lines within the bound share a key. Equal keys are
-   not paired up: the earliest of each is found by aggregation and compared with the rest.
-4. What shares a key is verified word by word, and the earliest that holds is kept.
+2. Of the blocks that a line is cut into (two, or one for each 32 units of long lines), an
+   edit leaves all but one whole. Lines are cut by the shorter line's length, so a longer
+   line is cut for both lengths, and a key is hashed for all but each block in turn. Lines
+   with a key that nobody shares are done.
+3. For the others, the block that may differ is emitted with each of its units deleted in
+   turn, as hashed keys: two lines within the bound share a key. Equal keys are not
+   paired up: the earliest of each is found by aggregation and compared with the rest.
+4. What shares a key is verified, and the earliest that holds is kept.
+
+Lines that make up a thousandth of all or more are joined with their decision by broadcast
+(there are a thousand at most), blank ones not at all, so no task gets all copies of one.
 
 Defined results: a null text has no lines; an empty one has one blank line; blank
-lines always stay; lines of rows that repeat an id and a line number and are
-equal stay or go together; an empty table gives an empty result.
+lines always stay; a null id comes before all others; lines of rows that repeat an id and
+a line number and are equal stay or go together, and unlike ones do not displace each
+other; an empty table gives an empty result. Only the id and the text are read, so
+further columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,10 +36,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import read, scratch
 
 MIN_WORDS = 10
-
-
-def _hash(words: Column, side: str, cut: Column) -> Column:
-    return F.xxhash64(F.lit(side), cut, words)
+MIN_CHARS = 10
+#: Units of a block, and the most blocks of a line.
+BLOCK, MOST_BLOCKS = 32, 64
+#: Lines that make up this share of all, or more, are joined by broadcast.
+HOT = 1000
 
 
 def lines_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,21 +48,46 @@ def lines_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
-def _half(words: Column, count: Column, cut: Column, side: str) -> Column:
-    """The half of a line that an edit on the other side leaves whole; ``cut`` is the shorter line's length."""
-    h = F.floor(cut / 2).cast("int")
-    if side == "head":
-        return F.slice(words, 1, h)
-    return F.slice(words, count - (cut - h).cast("int") + 1, (cut - h).cast("int"))
+def _blocks(cut: Column) -> Column:
+    """Into how many blocks a pair of lines is cut whose shorter one has ``cut`` units."""
+    return F.greatest(F.lit(2), F.least(F.lit(MOST_BLOCKS), F.ceil(cut / BLOCK).cast("int")))
+
+
+def _around(cut: Column, block: Column, blocks: Column) -> tuple[Column, Column]:
+    """How many units stand before a block, and after it."""
+    before = F.floor(block.cast("long") * cut / blocks).cast("int")
+    return before, cut - F.floor((block.cast("long") + 1) * cut / blocks).cast("int")
+
+
+def _head(line: Column, by_word: Column, n: Column) -> Column:
+    return F.when(by_word, F.call_function("substring_index", line, F.lit(" "), n)).otherwise(F.substr(line, F.lit(1), n))
+
 
+def _tail(line: Column, by_word: Column, count: Column, n: Column) -> Column:
+    return F.when(by_word, F.call_function("substring_index", line, F.lit(" "), -n)).otherwise(F.substr(line, count - n + 1, n))
 
-def _rest(words: Column, count: Column, cut: Column, side: Column) -> Column:
-    """What :func:`_half` leaves over."""
-    h = F.floor(cut / 2).cast("int")
-    return F.when(side == "head", F.slice(words, h + 1, count - h)).otherwise(F.slice(words, F.lit(1), count - (cut - h).cast("int")))
 
+def _key(line: Column, by_word: Column, count: Column, cut: Column, block: Column, blocks: Column) -> Column:
+    """The hash of all but one block."""
+    before, after = _around(cut, block, blocks)
+    return F.xxhash64(by_word, cut, block, _head(line, by_word, before), _tail(line, by_word, count, after))
 
-def verified(a: Column, b: Column) -> Column:
+
+def _keys(line: Column, by_word: Column, count: Column, least: Column) -> Column:
+    """The keys of a line for its own length, then for that less one; null where the shorter line would be too short."""
+
+    def short(less: int, block: int) -> Column:
+        cut = count - less
+        return F.when(cut >= least, _key(line, by_word, count, cut, F.lit(block), F.lit(2)))
+
+    def long(cut: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), _blocks(cut) - 1), lambda block: _key(line, by_word, count, cut, block, _blocks(cut)))
+
+    two = F.array(*[short(less, block) for less in (0, 1) for block in (0, 1)])
+    return F.when(count <= 2 * BLOCK, two).otherwise(F.concat(long(count), long(count - 1)))
+
+
+def one_edit_apart(a: Column, b: Column) -> Column:
     """Whether two word sequences are one edit apart at most: their common start and end cover the shorter one."""
     shorter = F.least(F.size(a), F.size(b))
 
@@ -64,57 +99,93 @@ def verified(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), covered >= shorter - 1).otherwise((F.abs(F.size(a) - F.size(b)) == 1) & (covered >= shorter))
 
 
-def duplicate_lines(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line: doc_id, line_no, kept, keep_doc_id, keep_line_no (the earliest line within the bound, or itself)."""
-    lines = lines_of(documents, doc_id, text)
-    words, count = F.split("line", " ", -1), F.col("count")
-    hashed = lines.withColumn("blank", F.trim(F.translate("line", "\t\r", "  ")) == "").withColumn("words", F.when(~F.col("blank"), words)).withColumn("count", F.size("words"))
-    keys = [F.when(count - less >= min_words, _hash(_half(F.col("words"), count, count - less, side), side, count - less)) for less in (0, 1) for side in ("head", "tail")]
-    hashed = hashed.select("doc_id", "line_no", "blank", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), count, *[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    hashed = scratch(spark, hashed, "lines")
-    place = F.struct("doc_id", "line_no")
-    distinct = hashed.filter("not blank").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("count").alias("count"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)])
-    distinct = scratch(spark, distinct, "distinct_lines")
+def verified(a: Column, b: Column, by_word: Column) -> Column:
+    """Whether two lines are one edit apart at most."""
+    return F.when(by_word, one_edit_apart(F.split(a, " ", -1), F.split(b, " ", -1))).otherwise(F.levenshtein(a, b, 1) >= 0)
+
+
+def _hashed(lines: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """doc_id, line_no, blank, h1, h2, by_word, count (units; null where lines must be equal), keys."""
+    line, by_word, count = F.col("line"), F.col("by_word"), F.col("count")
+    out = lines.withColumn("blank", F.btrim(line, F.lit(" \t\r")) == "")
+    out = out.withColumn("words", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).withColumn("by_word", F.col("words") >= min_words)
+    chars = F.char_length(line)
+    out = out.withColumn("count", F.when(F.col("blank"), None).when(by_word, F.col("words")).when(chars >= min_chars, chars).cast("int"))
+    least = F.when(by_word, min_words).otherwise(min_chars)
+    keys = F.when(count.isNotNull(), _keys(line, by_word, count, least))
+    return out.select("doc_id", "line_no", "blank", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "by_word", "count", keys.alias("keys"))
 
-    # lines that share a half with another, once for each half
-    halves = distinct.filter(count >= min_words).select("first", "h1", "h2", "count", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("i", "key")).filter("key is not null")
-    common = halves.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a <> b").select("key")
-    near = halves.join(common, "key", "left_semi").select("first", "h1", "h2", "count", "key", (F.col("count") - F.floor(F.col("i") / 2)).cast("int").alias("cut"), F.when(F.col("i") % 2 == 0, "head").otherwise("tail").alias("side"))
+
+def _variants(near: DataFrame) -> DataFrame:
+    """rank, short, replaced, variant: the block that may differ, with each unit left out, and whole."""
+    line, by_word, count, cut = (F.col(c) for c in ("line", "by_word", "count", "cut"))
+    before, after = _around(cut, F.col("block"), _blocks(cut))
+    upto = count - after
+    middle = F.when(by_word, F.call_function("substring_index", F.call_function("substring_index", line, F.lit(" "), upto), F.lit(" "), -(upto - before))).otherwise(F.substr(line, before + 1, upto - before))
+    units = F.when(by_word, F.split(middle, " ", -1)).otherwise(F.split(middle, "", -1))
+    rest = near.select("rank", "key", (count == cut).alias("short"), units.alias("units"))
+    size = F.size("units")
+
+    def without(p: Column) -> Column:
+        left = F.concat(F.slice("units", F.lit(1), p), F.slice("units", p + 2, F.greatest(size - p - 1, F.lit(0))))
+        # lines of one length match where the same unit is left out, a longer line where it equals a shorter one
+        at = F.when(F.col("short"), p).otherwise(F.lit(-1))
+        return F.struct(F.col("short").alias("replaced"), F.xxhash64("key", at, left).alias("variant"))
+
+    nothing = F.array().cast("array<struct<replaced:boolean,variant:bigint>>")
+    whole = F.when(F.col("short"), F.array(F.struct(F.lit(False).alias("replaced"), F.xxhash64("key", F.lit(-1), "units").alias("variant")))).otherwise(nothing)
+    return rest.select("rank", "short", F.inline(F.array_distinct(F.concat(whole, F.transform(F.sequence(F.lit(0), size - 1), without)))))
+
+
+def _nearest(spark: SparkSession, lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """first, h1, nearest: the earliest line within the bound, for lines that have one."""
+    # lines with all but one block in common with another, once for each such block
+    count = F.col("count")
+    blocks = distinct.filter("count is not null").select("first", "h1", "by_word", "count", F.posexplode("keys").alias("i", "key")).filter("key is not null")
+    common = blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    own = _blocks(count)
+    near = blocks.join(common, "key", "left_semi").select("first", "h1", "by_word", "count", "key", F.when(F.col("i") < own, count).otherwise(count - 1).alias("cut"), F.when(F.col("i") < own, F.col("i")).otherwise(F.col("i") - own).alias("block"))
     near = scratch(spark, near, "near_lines")
-    sought = near.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1", "first").distinct()
-    sought = sought.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), F.col("h1").alias("_h1"), "first")
+
+    sought = near.select("first", "by_word", F.col("h1").alias("_h1"), F.col("first.doc_id").alias("_doc"), F.col("first.line_no").alias("_line")).distinct()
     at = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (F.col("h1") == F.col("_h1"))
-    texts = lines.withColumn("h1", F.xxhash64("line")).join(sought, at).select("first", "h1", F.split("line", " ", -1).alias("words")).dropDuplicates(["first", "h1"])
+    texts = lines.withColumn("h1", F.xxhash64("line")).join(sought, at).select("first", "h1", "by_word", "line").dropDuplicates(["first", "h1"])
+    # a number in the order of places: ranges of places go to partitions in that order, and each is sorted
+    texts = texts.repartitionByRange("first", "h1").sortWithinPartitions("first", "h1").select(F.monotonically_increasing_id().alias("rank"), "first", "h1", "by_word", "line")
     texts = scratch(spark, texts, "near_texts")
 
-    # the deletion neighbourhood of the half that may differ
-    rest = near.join(texts, ["first", "h1"]).select("first", "h1", "key", (F.col("count") == F.col("cut")).alias("short"), _rest(F.col("words"), F.col("count"), F.col("cut"), F.col("side")).alias("rest"))
-    size = F.size("rest")
+    variants = scratch(spark, _variants(near.drop("by_word").join(texts, ["first", "h1"])), "variants")
+    met = variants.groupBy("variant").agg(F.min(F.when(F.col("short"), F.col("rank"))).alias("shorter"), F.min(F.when(~F.col("short"), F.col("rank"))).alias("longer"), F.max("rank").alias("last"))
+    met = met.filter(F.col("last") > F.least("shorter", "longer")).drop("last")
+    other = F.when(F.col("replaced") | ~F.col("short"), F.col("shorter")).otherwise(F.col("longer"))
+    pairs = variants.join(met, "variant").select("rank", other.alias("other")).filter("other < rank").distinct()
+    earlier = texts.select(F.col("rank").alias("other"), F.col("first").alias("_first"), F.col("line").alias("_line"))
+    checked = pairs.join(texts, "rank").join(earlier, "other").filter("_first < first")
+    return checked.filter(verified(F.col("line"), F.col("_line"), F.col("by_word"))).groupBy("first", "h1").agg(F.min("_first").alias("nearest"))
 
-    def without(p: Column) -> Column:
-        return F.xxhash64(F.concat(F.slice("rest", F.lit(1), p), F.slice("rest", p + 2, F.greatest(size - p - 1, F.lit(0)))))
-
-    deleted = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda p: F.struct(F.when(F.col("short"), p).otherwise(F.lit(-1)).alias("at"), without(p).alias("variant")))).otherwise(F.array().cast("array<struct<at:int,variant:bigint>>"))
-    whole = F.when(F.col("short"), F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64("rest").alias("variant")))).otherwise(F.array().cast("array<struct<at:int,variant:bigint>>"))
-    variants = rest.select("first", "h1", "key", "short", F.inline(F.array_distinct(F.concat(whole, deleted))))
-    # at >= 0: lines of one length, each with the word at that place deleted; at -1: a shorter line and longer ones that lose a word
-    met = variants.groupBy("key", "at", "variant").agg(
-        F.min(F.when(F.col("short"), F.struct("first", "h1"))).alias("shorter"), F.min(F.when(~F.col("short"), F.struct("first", "h1"))).alias("longer"), F.max(F.struct("first", "h1")).alias("last")
-    )
-    met = met.filter((F.col("last") > F.coalesce(F.least("shorter", "longer"), "shorter", "longer"))).drop("last")
-    other = F.when((F.col("at") >= 0) | ~F.col("short"), F.col("shorter")).otherwise(F.col("longer"))
-    pairs = variants.join(met, ["key", "at", "variant"]).select("first", "h1", other.alias("other")).filter("other.first < first").distinct()
-    checked = pairs.join(texts, ["first", "h1"]).join(texts.select(F.col("first").alias("_first"), F.col("h1").alias("_h1"), F.col("words").alias("_words")), (F.col("other.first") == F.col("_first")) & (F.col("other.h1") == F.col("_h1")))
-    nearest = checked.filter(verified(F.col("words"), F.col("_words"))).groupBy("first", "h1").agg(F.min("_first").alias("nearest"))
-
-    decided = distinct.join(nearest, ["first", "h1"], "left").select("h1", "h2", "first", F.coalesce("nearest", "first").alias("stays"))
-    return hashed.join(decided, ["h1", "h2"], "left").select(
-        "doc_id",
-        "line_no",
-        (F.col("blank") | (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no")))).alias("kept"),
-        F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_doc_id"),
-        F.when(F.col("blank"), F.col("line_no")).otherwise(F.col("stays.line_no")).alias("keep_line_no"),
-    )
+
+def duplicate_lines(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row for each line: doc_id, line_no, kept, keep_doc_id, keep_line_no (the earliest line within the bound, or itself)."""
+    lines = lines_of(documents, doc_id, text)
+    hashed = scratch(spark, _hashed(lines, min_words, min_chars), "lines")
+    full = hashed.filter("not blank")
+    distinct = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("by_word", "count", "keys")])
+    distinct = scratch(spark, distinct, "distinct_lines")
+    nearest = scratch(spark, _nearest(spark, lines, distinct), "nearest_lines")
+
+    total = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.col("n") * HOT >= total
+    stays = F.coalesce("nearest", "first").alias("stays")
+    decided = distinct.select("h1", "h2", "first", "n").join(nearest, ["first", "h1"], "left").select("h1", "h2", "n", stays)
+    # at most a thousand lines make up a thousandth each
+    often = F.broadcast(distinct.filter(hot).select("h1", "h2", "first").join(nearest, ["first", "h1"], "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), stays))
+    of_often = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    places = ["doc_id", "line_no", "stays"]
+    rare = full.select("doc_id", "line_no", "h1", "h2").join(often, of_often, "left_anti").join(decided.filter(~hot), ["h1", "h2"]).select(*places)
+    blank = hashed.filter("blank").select("doc_id", "line_no", F.struct("doc_id", "line_no").alias("stays"))
+    out = rare.unionByName(full.join(often, of_often).select(*places)).unionByName(blank)
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))
+    return out.select("doc_id", "line_no", kept.alias("kept"), F.col("stays.doc_id").alias("keep_doc_id"), F.col("stays.line_no").alias("keep_line_no"))
 
 
 def without_duplicates(documents: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,17 +203,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
-f AS (
-  SELECT line, min((doc_id, line_no)) AS first, string_split(line, ' ') AS w FROM l WHERE trim(replace(replace(line, chr(9), ' '), chr(13), ' ')) <> '' GROUP BY line),
+d0 AS (SELECT line, min((doc_id, line_no)) AS first, string_split(line, ' ') AS words FROM l WHERE trim(replace(replace(line, chr(9), ' '), chr(13), ' ')) <> '' GROUP BY line),
+f AS (SELECT line, first, len(words) >= 10 AS by_word, CASE WHEN len(words) >= 10 THEN words WHEN length(line) >= 10 THEN list_transform(range(1, length(line) + 1), lambda i: substr(line, i, 1)) END AS w FROM d0),
 v AS (
-  SELECT line, first, len(w) AS n, -1 AS at, w AS var, true AS whole FROM f WHERE len(w) >= 10
+  SELECT line, first, by_word, -1 AS at, w AS var, true AS whole FROM f WHERE w IS NOT NULL
   UNION ALL
-  SELECT line, first, len(w), p, list_concat(w[1:p], w[p + 2:len(w)]), false FROM (SELECT *, unnest(range(len(w))) AS p FROM f WHERE len(w) >= 10)),
+  SELECT line, first, by_word, p, list_concat(w[1:p], w[p + 2:len(w)]), false FROM (SELECT *, unnest(range(len(w))) AS p FROM f WHERE w IS NOT NULL)),
 pairs AS (
-  SELECT DISTINCT a.first AS first, b.first AS other FROM v a JOIN v b ON a.var = b.var AND a.first > b.first
+  SELECT DISTINCT a.first AS first, b.first AS other FROM v a JOIN v b ON a.var = b.var AND a.by_word = b.by_word AND a.first > b.first
   WHERE (a.at = b.at AND NOT a.whole AND NOT b.whole) OR (a.whole <> b.whole)),
 n AS (SELECT first, min(other) AS nearest FROM pairs GROUP BY first),
-d AS (SELECT f.line, coalesce(n.nearest, f.first) AS stays FROM f LEFT JOIN n ON f.first = n.first)
+d AS (SELECT d0.line, coalesce(n.nearest, d0.first) AS stays FROM d0 LEFT JOIN n ON d0.first = n.first)
 SELECT l.doc_id, l.line_no::INTEGER AS line_no, coalesce((l.doc_id, l.line_no) = d.stays, true) AS kept,
   coalesce(d.stays[1], l.doc_id) AS keep_doc_id, coalesce(d.stays[2], l.line_no)::INTEGER AS keep_line_no
 FROM l LEFT JOIN d ON l.line = d.line
