@@ -6,15 +6,24 @@ kind and format: digits stay digits and separators stay where they are, a number
 that passes the Luhn test gets one that does, an address keeps its top-level domain,
 a name keeps its script, capitals and the gender of its form of address.
 
+A number that only looks like one of these stays as it is: a card without a valid
+check digit, an address with a part above 255, digits that are not grouped as telephone
+numbers are (``plausible``). Names without a form of address are not looked for.
+
 A surrogate is a keyed hash of kind and canonical value, so an entity has the same one
-in all its spellings and in all documents. All entities go through a collision check:
-where two get one surrogate, or a surrogate is itself an entity of the
-corpus, all but one are drawn again with the next attempt number until none collide.
-Built-in functions only. Only texts with entities are shuffled, and the entity table is
-pre-aggregated, so a frequent entity is one row for each task.
+in all its spellings and in all documents; a telephone number with and without the
+country's code is one entity. A given name has the gender of its form of address, and after
+one that tells none, that which the name has elsewhere in the corpus, most often. All
+entities go through a collision check: where two get one surrogate, or a surrogate is
+itself an entity of the corpus, all but one are drawn again with the next attempt number
+until none collide. Built-in functions only. One pass over a text marks the places of
+its entities. Only entities are shuffled, not texts of documents without any, and the
+entity table is pre-aggregated, so a frequent entity is one row for each task; those that make
+up a thousandth of all occurrences are joined by broadcast (a thousand at most).
 
 Defined results: null texts stay null and have no entities, and empty texts stay empty;
-rows that repeat an id are each treated whole; an empty table gives an empty result.
+rows that repeat an id, a null one too, are each treated whole; an empty table gives an
+empty result. Only the id and the text are read, so further columns may have any name.
 The key is a parameter; the default is for tests and must not guard real data.
 """
 
@@ -32,18 +41,25 @@ FORMS = "|".join(form for f in MALE + FEMALE + NEUTRAL for form in (f, f.upper()
 
 #: Kinds in order of precedence, with the pattern of each.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp_|sk-)[A-Za-z0-9]{20,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9.-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
-    "name": r"(?<![\p{L}])(?:" + FORMS + r")\.? \p{Lu}[\p{L}'-]++(?![0-9])(?: \p{Lu}[\p{L}'-]++(?![0-9])){0,2}",
+    "name": r"(?<![\p{L}])(?=[" + "".join(sorted({form[0] for form in MALE + FEMALE + NEUTRAL})) + r"])(?:" + FORMS + r")\.? \p{Lu}[\p{L}'-]++(?![0-9])(?: \p{Lu}[\p{L}'-]++(?![0-9])){0,2}",
 }
-#: A cheap test that each text with an entity passes.
-HINT = r"[0-9@]|(?:" + FORMS + r")\.? \p{Lu}|AKIA[A-Z]{16}|(?:ghp_|sk-)[A-Za-z]{20}|[a-f]{32}|[A-F]{32}"
+#: A cheap test that each text with an entity passes, if it has no "@".
+INITIALS = "".join(sorted({form[0] for form in MALE + FEMALE + NEUTRAL}))
+HINT = r"[0-9][ .()-]{0,2}[0-9][ .()-]{0,2}[0-9][ .()-]{0,2}[0-9]|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}|(?=[" + INITIALS + r"])(?:" + FORMS + r")\.? \p{Lu}|AKIA[0-9A-Z]{16}|ghp_|sk-[0-9A-Za-z]|[0-9a-f]{32}|[0-9A-F]{32}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What stands before a national telephone number.
+ABROAD = r"^(?:\+[0-9]{1,3}[ .-]|\+1(?=[0-9]{10}$))?\(?0*"
+#: Marks around entities in a text, in which the first character is escaped by the third.
+ESCAPE, MARK, ESCAPED = "\x01", "\x01\x03", "\x01\x02"
+#: Entities that make up this share of all occurrences, or more, are joined by broadcast.
+HOT = 1000
 
 SYLLABLES = {
     "latin": ("ba", "da", "fe", "ga", "ho", "ja", "ka", "le", "ma", "ne", "or", "pa", "ri", "sa", "ti", "ul", "va", "we", "yo", "ze"),
@@ -74,16 +90,24 @@ def _name_words(found: Column) -> Column:
 def canonical(found: Column, kind: Column) -> Column:
     """The same value for all spellings of an entity."""
     digits = F.regexp_replace(found, "[^0-9]", "")
-    international = F.when((kind == "phone") & found.startswith("+"), F.concat(F.lit("+"), digits))
-    return international.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(found, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(found)).otherwise(found)
+    national = F.regexp_replace(F.regexp_replace(found, ABROAD, ""), "[^0-9]", "")
+    return F.when(kind == "phone", national).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(found, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(found)).otherwise(found)
+
+
+def plausible(found: Column, kind: Column) -> Column:
+    """Whether a match is what its pattern looks for, as far as its digits tell."""
+    octets = F.forall(F.split(found, r"\."), lambda o: F.length(o) <= 3) & F.forall(F.split(found, r"\."), lambda o: F.coalesce(o.try_cast("int"), F.lit(999)) <= 255)
+    phone = found.rlike(r"^[+(0]|^[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-]?[0-9]{4}$")
+    return F.when(kind == "card", _luhn(F.regexp_replace(found, "[^0-9]", "")) == 0).when(kind == "ipv4", octets).when(kind == "phone", phone).otherwise(True)
 
 
 def entities_of(found: Column) -> Column:
-    """array<struct<kind, value>> that a match stands for: a name's words, the last one as surname, or the match itself."""
+    """array<struct<kind, value>> that a match stands for: a name's words, the last one as surname, or the match itself; empty if it only looks like one."""
     kind = kind_of(found)
     words, gender = _name_words(found), _gender(F.get(F.split(found, " "), F.lit(0)))
     named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given-"), gender)).alias("kind"), F.lower(w).alias("value")))
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), canonical(found, kind).alias("value"))))
+    nothing = F.array().cast("array<struct<kind:string,value:string>>")
+    return F.when(~plausible(found, kind), nothing).when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), canonical(found, kind).alias("value"))))
 
 
 def _draw(key: str, attempt: int, kind: Column, value: Column) -> Column:
@@ -122,32 +146,56 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(doubled, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def surrogate(key: str, attempt: int, kind: Column, value: Column) -> Column:
-    """A canonical surrogate for a canonical value."""
+def _mod97(value: Column) -> Column:
+    """An account number, its first four places moved to the end and letters counted from 10 on, modulo 97: 1 if valid."""
+    turned = F.concat(F.substr(value, F.lit(5)), F.substr(value, F.lit(1), F.lit(4)))
+    step = lambda a, c: F.when(c.rlike("[0-9]"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97)))
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: step(a, c).cast("int"))
+
+
+def surrogate(key: str, attempt: int, kind: Column, value: Column, kinds: set[str] | None = None) -> Column:
+    """A canonical surrogate for a canonical value; with ``kinds``, only those occur, and the expression is so much smaller."""
     draw = _draw(key, attempt, kind, value)
-    hexadecimal = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(value.rlike("[a-f]"), F.lower(F.substr(draw, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1)))).otherwise(F.upper(F.substr(draw, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))))), "")
-    secret = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(4)), _mapped(F.substr(value, F.lit(5)), draw)))
-    domain = F.substring_index(value, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    local = F.substring_index(value, "@", 1)
-    # a domain is drawn by itself, so people of one domain stay together
-    email = F.concat(_mapped(local, draw), F.lit("@"), _mapped(host, _draw(key, 0, F.lit("domain"), domain)), F.lit("."), top)
-    ipv4 = F.array_join(F.transform(F.split(value, r"\."), lambda _, i: (F.pmod(_number(draw, i), F.lit(254)) + 1).cast("string")), ".")
     digits = _mapped(value, draw)
-    # the last digit is what makes the Luhn sum come out
-    short = F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))
-    card = F.when(_luhn(value) == 0, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.pmod(F.lit(10) - _luhn(short), F.lit(10)).cast("string"))).otherwise(digits)
-    iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _mapped(F.substr(value, F.lit(3)), draw))
-    out = F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ipv4", ipv4).when(kind == "card", card).when(kind == "iban", iban)
+    wanted = lambda k: kinds is None or k in kinds
+    cases: list[tuple[Column, Column]] = []
+    if wanted("email"):
+        domain = F.substring_index(value, "@", -1)
+        top = F.substring_index(domain, ".", -1)
+        host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
+        # a domain is drawn by itself, so people of one domain stay together
+        hosted = _mapped(host, _draw(key, 0, F.lit("domain"), domain))
+        cases.append((kind == "email", F.concat(_mapped(F.substring_index(value, "@", 1), draw), F.lit("@"), hosted, F.lit("."), top)))
+    if wanted("secret"):
+        drawn = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.substr(draw, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))), "")
+        hexadecimal = F.when(value.rlike("[a-f]"), F.lower(drawn)).otherwise(F.upper(drawn))
+        cases.append((kind == "secret", F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(4)), _mapped(F.substr(value, F.lit(5)), draw)))))
+    if wanted("ipv4"):
+        cases.append((kind == "ipv4", F.array_join(F.transform(F.split(value, r"\."), lambda _, i: (F.pmod(_number(draw, i), F.lit(254)) + 1).cast("string")), ".")))
+    if wanted("card"):
+        # the last digit is what makes the Luhn sum come out
+        short = F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))
+        valid = F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.pmod(F.lit(10) - _luhn(short), F.lit(10)).cast("string"))
+        cases.append((kind == "card", F.when(_luhn(value) == 0, valid).otherwise(digits)))
+    if wanted("iban"):
+        country, account = F.substr(value, F.lit(1), F.lit(2)), _mapped(F.substr(value, F.lit(3)), draw)
+        rest = F.substr(account, F.lit(3))
+        check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+        cases.append((kind == "iban", F.concat(country, F.when(_mod97(value) == 1, F.concat(check, rest)).otherwise(account))))
+    if wanted("phone"):
+        # a national number does not begin with a zero
+        cases.append((kind == "phone", F.concat((F.pmod(_number(draw, 40), F.lit(8)) + 2).cast("string"), F.substr(digits, F.lit(2)))))
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    role = F.when(kind == "surname", "s").otherwise(F.substr(kind, F.lit(7), F.lit(1)))
     for s, endings in ENDINGS.items():
-        stem = F.concat(*[_pick(SYLLABLES[s], _number(draw, i)) for i in range(3 + attempt // 3)])
         for r, choice in endings.items():
-            out = out.when((kind.startswith("given") | (kind == "surname")) & (script == s) & (role == r), F.concat(stem, _pick(choice, _number(draw, 30))))
-    # an international number keeps the plus sign and the digit after it
-    return out.when((kind == "phone") & value.startswith("+"), F.concat(F.substr(value, F.lit(1), F.lit(2)), _mapped(F.substr(value, F.lit(3)), draw))).otherwise(digits)
+            own = "surname" if r == "s" else f"given-{r}"
+            if wanted(own):
+                stem = F.concat(*[_pick(SYLLABLES[s], _number(draw, i)) for i in range(3 + attempt // 3)])
+                cases.append(((kind == own) & (script == s), F.concat(stem, _pick(choice, _number(draw, 30)))))
+    out = digits
+    for condition, drawn in reversed(cases):
+        out = F.when(condition, drawn).otherwise(out)
+    return out
 
 
 def assign(spark: SparkSession, entities: DataFrame, key: str, most_attempts: int = 40) -> DataFrame:
@@ -156,7 +204,8 @@ def assign(spark: SparkSession, entities: DataFrame, key: str, most_attempts: in
     family = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
     pending, done = originals, None
     for attempt in range(most_attempts):
-        drawn = pending.select("kind", "value", surrogate(key, attempt, F.col("kind"), F.col("value")).alias("surrogate"), family.alias("family"))
+        kinds = {r["kind"] for r in pending.select("kind").distinct().collect()}  # a dozen at most
+        drawn = pending.select("kind", "value", surrogate(key, attempt, F.col("kind"), F.col("value"), kinds).alias("surrogate"), family.alias("family"))
         drawn = scratch(spark, drawn, "drawn")
         taken = originals.select(family.alias("family"), F.col("value").alias("surrogate"))
         if done is not None:
@@ -176,12 +225,15 @@ def _laid_out(found: Column, kind: Column, drawn: Column) -> Column:
     """A canonical surrogate in the format of an occurrence."""
     slots = F.regexp_replace(found, "[^0-9A-Za-z]", "")
 
-    def place(c: Column, i: Column, keep: str) -> Column:
-        before = F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), keep, ""))
-        return F.when(c.rlike(keep), c).otherwise(F.substr(F.regexp_replace(drawn, keep, ""), before, F.lit(1)))
+    def place(c: Column, i: Column, keep: str, of: Column) -> Column:
+        upto = F.length(F.regexp_replace(F.substr(of, F.lit(1), i + 1), keep, ""))
+        return F.when(c.rlike(keep), c).otherwise(F.substr(F.regexp_replace(drawn, keep, ""), upto, F.lit(1)))
 
-    digits = F.array_join(F.transform(F.split(found, ""), lambda c, i: place(c, i, "[^0-9]")), "")
-    spaced = F.array_join(F.transform(F.split(found, ""), lambda c, i: place(c, i, " ")), "")
+    # what stands before a national number stays
+    before = F.when(kind == "phone", F.length(F.regexp_extract(found, ABROAD, 0))).otherwise(0)
+    rest = F.substr(found, before + 1, F.length(found))
+    digits = F.concat(F.substr(found, F.lit(1), before), F.array_join(F.transform(F.split(rest, ""), lambda c, i: place(c, i, "[^0-9]", rest)), ""))
+    spaced = F.array_join(F.transform(F.split(found, ""), lambda c, i: place(c, i, " ", found)), "")
     capital = (F.upper(found) == found) & (F.lower(found) != found)
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when((kind == "email") & capital & (slots != ""), F.upper(drawn)).otherwise(drawn)
 
@@ -191,16 +243,43 @@ def _like(word: Column, drawn: Column) -> Column:
     return F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(drawn)).otherwise(F.concat(F.upper(F.substr(drawn, F.lit(1), F.lit(1))), F.substr(drawn, F.lit(2))))
 
 
+def _with_gender(entities: DataFrame) -> DataFrame:
+    """``entities`` (kind, value, n) with ``as``: the kind, with the gender that a given name has most often where its form of address tells none."""
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    known = entities.filter(F.col("kind").isin("given-m", "given-f")).groupBy("value").agg(count("given-m").alias("m"), count("given-f").alias("f"))
+    gender = F.when(F.col("m") >= F.col("f"), "given-m").otherwise("given-f")
+    own = F.when((F.col("kind") == "given-n") & F.col("m").isNotNull(), gender).otherwise(F.col("kind"))
+    return entities.join(known, "value", "left").select("kind", "value", "n", own.alias("as"))
+
+
+def _marked(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row (a number of its own), doc_id, text, parts: the text taken apart, every second part a match; null, and the text as it is, if it has none."""
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = F.regexp_replace(F.replace(F.col("text"), F.lit(ESCAPE), F.lit(ESCAPED)), ANY, f"{MARK}$0{MARK}")
+    docs = docs.withColumn("parts", F.when(F.col("text").contains("@") | F.col("text").rlike(HINT), F.split(marked, MARK, -1)))
+    return docs.select("row", "doc_id", "text", F.when(F.size("parts") > 1, F.col("parts")).alias("parts")).select("row", "doc_id", F.when(F.col("parts").isNull(), F.col("text")).alias("text"), "parts")
+
+
 def pseudonymise(spark: SparkSession, documents: DataFrame, key: str = "graphloom-test-key", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds (of each entity, in order)."""
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     nothing = F.array().cast("array<string>")
-    hinted = docs.withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(nothing))
-    clean = hinted.filter("found is null or size(found) = 0").select("doc_id", "text", F.lit(0).alias("n_entities"), nothing.alias("kinds"))
-    held = scratch(spark, hinted.filter("size(found) > 0").withColumn("of", F.transform("found", entities_of)), "held")
-    assigned = assign(spark, held.select(F.explode(F.flatten("of")).alias("e")).select("e.kind", "e.value"), key)
-    rows = held.select("doc_id", F.explode(F.array_distinct(F.flatten("of"))).alias("e")).select("doc_id", "e.kind", "e.value").distinct()
-    maps = rows.join(assigned, ["kind", "value"]).groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x00", "kind", "value"), "surrogate"))).alias("_map"))
+    docs = scratch(spark, _marked(documents, doc_id, text), "marked")
+    clean = docs.filter("parts is null").select("doc_id", "text", F.lit(0).alias("n_entities"), nothing.alias("kinds"))
+    plain = F.transform("parts", lambda p: F.replace(p, F.lit(ESCAPED), F.lit(ESCAPE)))
+    held = docs.filter("parts is not null").select("row", "doc_id", plain.alias("parts"))
+    held = held.select("row", "doc_id", F.filter("parts", lambda _, i: i % 2 == 0).alias("pieces"), F.filter("parts", lambda _, i: i % 2 == 1).alias("found"))
+    held = scratch(spark, held.withColumn("of", F.transform("found", entities_of)), "held")
+
+    rows = held.select("row", F.explode(F.array_distinct(F.flatten("of"))).alias("e")).select("row", "e.kind", "e.value")
+    every = held.select(F.explode(F.flatten("of")).alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n"))
+    entities = scratch(spark, _with_gender(every), "genders")
+    assigned = assign(spark, entities.select(F.col("as").alias("kind"), "value").distinct(), key).withColumnRenamed("kind", "as")
+    assigned = scratch(spark, entities.join(assigned, ["as", "value"]).select("kind", "value", "n", "surrogate"), "surrogates")
+    total = assigned.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.col("n") * HOT >= total
+    often = F.broadcast(assigned.filter(hot).drop("n"))  # at most a thousand make up a thousandth each
+    drawn_rows = rows.join(often, ["kind", "value"]).unionByName(rows.join(often, ["kind", "value"], "left_anti").join(assigned.filter(~hot).drop("n"), ["kind", "value"]))
+    maps = drawn_rows.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x00", "kind", "value"), "surrogate"))).alias("_map"))
     drawn = lambda e: F.element_at(F.col("_map"), F.concat_ws("\x00", e["kind"], e["value"]))
 
     def replaced(found: Column, of: Column) -> Column:
@@ -208,14 +287,13 @@ def pseudonymise(spark: SparkSession, documents: DataFrame, key: str = "graphloo
         form = F.get(F.split(found, " "), F.lit(0))
         named = F.concat_ws(" ", F.concat(F.array(form), F.transform(words, lambda w, i: _like(w, drawn(F.get(of, i))))))
         first = F.get(of, F.lit(0))
-        return F.when(first["kind"].startswith("given") | (first["kind"] == "surname"), named).otherwise(_laid_out(found, first["kind"], drawn(first)))
+        return F.when(F.size(of) == 0, found).when(first["kind"].startswith("given") | (first["kind"] == "surname"), named).otherwise(_laid_out(found, first["kind"], drawn(first)))
 
-    joined = held.join(maps, F.col("doc_id").eqNullSafe(F.col("_doc")))
     new = F.zip_with("found", "of", replaced)
-    pieces = F.split("text", ANY, -1)
-    whole = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    kinds = F.transform("found", kind_of)
-    return joined.select("doc_id", whole.alias("text"), F.size("found").alias("n_entities"), kinds.alias("kinds")).unionByName(clean)
+    whole = F.array_join(F.zip_with("pieces", new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    kinds = F.filter(F.zip_with("found", "of", lambda f, of: F.when(F.size(of) > 0, kind_of(f))), lambda k: k.isNotNull())
+    changed = held.join(maps, "row", "left").select("doc_id", whole.alias("text"), kinds.alias("kinds"))
+    return changed.select("doc_id", "text", F.size("kinds").alias("n_entities"), "kinds").unionByName(clean)
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

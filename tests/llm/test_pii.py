@@ -48,3 +48,51 @@ def test_secrets_without_digits_are_replaced(spark, docs):
     out = run(spark, docs, *((i, f"the key is {s} there") for i, s in enumerate(secrets)))
     for i, s in enumerate(secrets):
         assert out[i]["n_entities"] == 1 and s not in out[i]["text"]
+
+
+def test_one_given_name_across_forms_of_address(spark, docs):
+    out = run(spark, docs, (1, "Mr. John Smith met Dr. John Smith"), (2, "Dr. Alex Doe"), (3, "Mrs. Robin Roe, Prof. Robin Roe, Mr. Robin Poe, Mrs. Robin Poe"))
+    a, b = re.fullmatch(r"Mr\. (\w+ \w+) met Dr\. (\w+ \w+)", out[1]["text"]).groups()
+    assert a == b and a != "John Smith"
+    mrs, prof, mr, again = re.findall(r"(?:Mrs?|Prof)\. (\w+)", out[3]["text"])
+    assert mrs == prof == again != mr
+
+
+def test_one_number_with_and_without_the_country(spark, docs):
+    out = run(spark, docs, (1, "call +1 499 555 6503 or 499 555 6503 or (499) 555-6503"), (2, "+44 20 7946 0018, 020 7946 0018"))
+    a, b, c = re.findall(r"\d{3}\W{1,2}\d{3}\W\d{4}", out[1]["text"])
+    assert len({re.sub(r"\D", "", x) for x in (a, b, c)}) == 1 and "499" not in out[1]["text"] and out[1]["text"].startswith("call +1 ")
+    abroad, at_home = out[2]["text"].split(", ")
+    assert re.sub(r"\D", "", abroad)[2:] == re.sub(r"\D", "", at_home)[1:] and abroad.startswith("+44 ") and at_home.startswith("0")
+
+
+def test_numbers_that_only_look_like_entities_stay(spark, docs):
+    texts = ["Order 2019 100 2000 shipped", "12 345 6789 units", "card 4111111111111112", "version 300.1.2.3", "9807915762804491 is no card"]
+    out = run(spark, docs, *enumerate(texts))
+    assert [out[i]["text"] for i in range(len(texts))] == texts and all(r["n_entities"] == 0 and r["kinds"] == [] for r in out.values())
+
+
+def test_account_numbers_keep_their_check_digits(spark, docs):
+    out = run(spark, docs, (1, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432"))
+    for iban in re.findall(r"[A-Z]{2}\d{2}[ 0-9A-Z]{14,}?(?= and|$)", out[1]["text"]):
+        flat = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert "3704" not in out[1]["text"] and "WEST" not in out[1]["text"] and out[1]["n_entities"] == 2
+
+
+def test_long_and_odd_texts(spark, docs):
+    labels = "x@" + "a." * 100_000
+    long = "word 12 " * 1_200_000 + "jo@mail.example.com"
+    out = run(spark, docs, (1, labels), (2, long), (3, "a\x01b\x01\x02c \x01\x03 jo@mail.example.com\x01"), (4, "x@" + "ab." * 20 + "com"))
+    assert out[1]["text"] == labels and len(out[2]["text"]) == len(long) and out[2]["n_entities"] == 1
+    assert re.fullmatch("a\x01b\x01\x02c \x01\x03 [a-z]{2}@[a-z]{4}\\.[a-z]{7}\\.com\x01", out[3]["text"]) and "jo@" not in out[3]["text"]
+    assert out[4]["n_entities"] == 1
+
+
+def test_repeated_and_null_ids_and_clashing_names(spark):
+    rows = [(None, "jo@mail.example.com"), (None, "Mr. Poe"), (7, "jo@mail.example.com"), (7, "jo@mail.example.com"), (7, None), (7, "")]
+    frame = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "doc_id long, text string, row string, kinds string, n int")
+    out = pii.pseudonymise(spark, frame).collect()
+    assert len(out) == 6
+    mails = {r["text"] for r in out if r["text"] and "@" in r["text"]}
+    assert len(mails) == 1 and "jo@mail.example.com" not in mails
