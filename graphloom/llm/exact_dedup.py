@@ -195,15 +195,25 @@ def build_index(keys: DataFrame) -> DataFrame:
     return local.repartition("digest").sortWithinPartitions("digest").mapInArrow(_index_shard, ENTRY)
 
 
-def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """The index after new documents came and others went.
 
     ``inserted`` is what :func:`digests` gives; ``deleted`` holds a ``digest`` for each
     document that went, and a digest whose copies are all gone is deleted from the index.
-    The row that stays is not chosen anew by a deletion while copies remain.
+    The index holds one row of each digest's copies, so after a deletion it can only name
+    another where ``live``, the digests of all documents that are there afterwards, is
+    given; of it only the rows of deleted digests are used. Without it the row that stays is
+    not chosen anew while copies remain.
     """
     small_batches(index.sparkSession)
     rows = index.select("digest", "n_points", "doc_id", "copies")
+    if deleted is not None and live is not None:
+        touched = deleted.select("digest").distinct()
+        rest = rows.join(touched, "digest", "left_anti").select(*rows.columns)
+        if inserted is not None:
+            rest = rest.unionByName(inserted.join(touched, "digest", "left_anti").select("digest", "n_points", "doc_id").mapInArrow(_index_task, ENTRY))
+        again = live.join(touched, "digest", "left_semi").select("digest", "n_points", "doc_id").mapInArrow(_index_task, ENTRY)
+        return rest.unionByName(again).repartition("digest").sortWithinPartitions("digest").mapInArrow(_index_shard, ENTRY)
     if inserted is not None:
         rows = rows.unionByName(inserted.select("digest", "n_points", "doc_id").mapInArrow(_index_task, ENTRY))
     if deleted is not None:

@@ -52,3 +52,17 @@ def test_update(spark, docs):
     new = E.digests(docs((9, "c"), (8, "b")))
     rows = {r["doc_id"]: r["copies"] for r in E.update_index(index, new, gone).collect()}
     assert rows == {2: 2, 9: 1}
+
+
+def test_update_names_a_live_document(spark, docs):
+    index = E.build_index(E.digests(docs((1, "a"), (2, "b"), (3, "b"))))
+    gone = E.digests(docs((1, "a"), (2, "b")))
+    new = E.digests(docs((9, "c"), (8, "b"), (7, "a a")))
+    live = E.digests(docs((3, "b"), (9, "c"), (8, "b"), (7, "a a")))
+    rows = {r["doc_id"]: r["copies"] for r in E.update_index(index, new, gone, live).collect()}
+    assert rows == {3: 2, 9: 1, 7: 1}
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a", 1, 1, 1), (2, "a ", 2, 2, 2)], "doc_id long, text string, keep_id int, copies int, n_points int")
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in E.exact_duplicates(spark, frame).collect()) == [(1, 2, 2), (2, 2, 2)]
