@@ -85,7 +85,7 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     known = F.coalesce(F.col("_parts"), F.array().cast(f"array<{PART}>"))
     rows = messages.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("_role"), F.col(parts).alias("_parts"))
     rows = rows.withColumn("_parts", known)
-    order = Window.partitionBy("_conv").orderBy(F.col("_turn").asc_nulls_first(), "_role", F.to_json("_parts"))
+    order = Window.partitionBy("_conv").orderBy(F.col("_turn").asc_nulls_first(), "_role", F.array_join(F.transform("_parts", lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.to_json("_parts"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_held", F.filter("_parts", visit.is_attachment))
     rows = rows.withColumn("_pos", F.row_number().over(order)).withColumn("_base", F.coalesce(F.sum(F.size("_held")).over(before), F.lit(0)))

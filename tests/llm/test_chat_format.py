@@ -35,3 +35,9 @@ def test_ties_and_empty(spark):
     out = C.format_chat(rows.withColumn("parts", C.text_part(F.col("text")))).withColumn("turns", C.read_back(F.col("formatted")))
     assert {r["conv_id"]: [t["text"] for t in r["turns"]] for r in out.collect()} == {1: ["a", "a", "b"], None: [""]}
     assert C.format_chat(rows.withColumn("parts", C.text_part(F.col("text"))).limit(0)).count() == 0
+
+
+def test_equal_turns_go_by_text(spark):
+    rows = spark.createDataFrame([(1, 0, "user", 'a"', "x"), (1, 0, "user", "a#", "y"), (1, 0, "user", "a", "z")], "conv_id long, turn long, role string, text string, formatted string")
+    done = C.format_chat(rows.withColumn("parts", C.text_part(F.col("text"))))
+    assert [t["text"] for t in done.select(C.read_back(F.col("formatted")).alias("t")).first()["t"]] == ["a", 'a"', "a#"]
