@@ -24,8 +24,10 @@ def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: those without letters, or of no language more likely than all others together."""
     model = langid.fit(docs.filter(fold("doc_id", 3) != 1))
-    found = langid.classify(docs, model, tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    # the columns go along under names that cannot be those of the results
+    own = {c: f"_column_{i}" for i, c in enumerate(docs.columns)}
+    found = langid.classify(docs.toDF(*own.values()), model, tuple(own.values()), own["text"])
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(to).alias(c) for c, to in own.items()])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, up to edits."""
-    found = decontaminate.contaminated(spark, docs, read(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(spark, docs, read(spark, sf_dir, "benchmark"), verbatim=True)
     return _only(docs, found.select("doc_id").distinct(), "left_anti")
 
 
