@@ -91,7 +91,9 @@ def tag_concepts(documents: DataFrame, concepts: DataFrame, doc_id: str = "doc_i
     """
     known = concepts.select("concept").filter("concept is not null").distinct()
     few = [r[0] for r in known.limit(most_literals + 1).collect()]
-    size, words = F.size(tokens), F.col(tokens)
+    # generated as a column of its own, so that what makes the tokens is not evaluated anew for each of them
+    documents = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(F.col(tokens))).alias("_tokens"))
+    size, words = F.size("_tokens"), F.col("_tokens")
     first_words = sorted({c.split(" ")[0] for c in few})
 
     def n_grams(at: Column) -> Column:
@@ -101,9 +103,9 @@ def tag_concepts(documents: DataFrame, concepts: DataFrame, doc_id: str = "doc_i
     if len(few) <= most_literals:
         starts = F.filter(every, lambda i: F.get(words, i).isin(*first_words))
         best = F.transform(starts, lambda i: F.get(F.filter(n_grams(i), lambda g: g["concept"].isin(*few)), F.lit(0)))
-        spans = documents.select(F.col(doc_id).alias("doc_id"), F.filter(best, lambda x: x.isNotNull()).alias("spans")).filter("size(spans) > 0")
+        spans = documents.select("doc_id", F.filter(best, lambda x: x.isNotNull()).alias("spans")).filter("size(spans) > 0")
     else:
-        grams = documents.select(F.col(doc_id).alias("doc_id"), F.inline(F.flatten(F.transform(every, n_grams))))
+        grams = documents.select("doc_id", F.inline(F.flatten(F.transform(every, n_grams))))
         found = grams.join(known, "concept").groupBy("doc_id", "at").agg(F.min(F.struct("length", "concept")).alias("best"))
         spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("best.length").alias("length"), F.col("best.concept").alias("concept")))).alias("spans"))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,length:int,concept:string>>").alias("out"))
@@ -113,15 +115,11 @@ def tag_concepts(documents: DataFrame, concepts: DataFrame, doc_id: str = "doc_i
 
 def bio_tags(documents: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """doc_id, tags: B where a span of :func:`tag_concepts` begins, I within it, O elsewhere; an id is one document."""
-    held = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct("at", "length"))).alias("_spans"))
-    begin = F.struct(F.lit(0).alias("left"), F.array().cast("array<string>").alias("tags"))
-
-    def step(state: Column, at: Column) -> Column:
-        length = F.try_element_at(F.col("_spans"), at)
-        left = F.when(length.isNotNull(), length - 1).otherwise(F.greatest(state["left"] - 1, F.lit(0)))
-        tag = F.when(length.isNotNull(), "B").when(state["left"] > 0, "I").otherwise("O")
-        return F.struct(left.alias("left"), F.concat(state["tags"], F.array(tag)).alias("tags"))
-
-    some = F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), begin, step, lambda s: s["tags"])
-    none = F.transform(F.col(tokens), lambda _: F.lit("O"))
-    return documents.join(held, F.col(doc_id) == F.col("_doc"), "left").select(F.col(doc_id).alias("doc_id"), F.when(F.col("_spans").isNull() | (F.size(tokens) == 0), none).otherwise(some).alias("tags"))
+    held = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("_spans"))
+    counted = documents.select(F.col(doc_id).alias("doc_id"), F.size(tokens).alias("_n"))
+    rows = counted.join(held, F.col("doc_id") == F.col("_doc"), "left").withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<at:int,length:int>>")))
+    outside = lambda n: F.array_repeat(F.lit("O"), n)
+    ended = lambda k: F.coalesce(F.get("_spans", k)["at"] + F.get("_spans", k)["length"], F.lit(0))
+    # stretch by stretch: what is outside before a span, its beginning, and the rest of it
+    tagged = F.flatten(F.transform("_spans", lambda s, k: F.concat(outside(s["at"] - F.when(k > 0, ended(k - 1)).otherwise(0)), F.array(F.lit("B")), F.array_repeat(F.lit("I"), s["length"] - 1))))
+    return rows.select("doc_id", "_n", tagged.alias("_tagged")).select("doc_id", F.when(F.col("_n").isNotNull() & (F.col("_n") >= 0), F.concat("_tagged", outside(F.col("_n") - F.size("_tagged")))).alias("tags"))
