@@ -1,20 +1,29 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; a second sample of texts, whose labels
-are not looked at, is the unlabelled set. With the class prior p, the risk of
-a score g is  p E+[l(g)] + max(0, E_u[l(-g)] - p E+[l(-g)]), where the maximum
-keeps the estimated risk on negatives from falling below zero; when it would,
-a step is taken against that term instead. Several linear numpy classifiers are
-trained so, on resampled sets, and their margins averaged.
+Confirmed toxic texts are the positives; the unlabelled set is a sample of the documents
+that have no label at all (of all documents, where each has one). Negative labels are not
+read. With the class prior p, the risk of a score g is
+p E+[l(g)] + max(0, E_u[l(-g)] - p E+[l(-g)]), where the maximum keeps the estimated risk
+on negatives from falling below zero; when it would, a step is taken against that term
+instead. Several linear numpy classifiers are trained so, on resampled sets, and their
+margins averaged. The prior is a parameter; where it is not given, it is estimated from the
+positives and the unlabelled set alone: among the highest scores of a half that was not
+looked at, hardly a negative is left, so there the ratio of the unlabelled share to the
+positive share is the prior (the best bin, by its upper confidence bound); under ``FEW``
+positives it is ``PRIOR_OF_FEW``.
 
 Features are the words of a text and their beginnings, whether they occur, recur
 or are dense. Those that stand out among positives are kept, so scoring looks up
 a table of fixed size and works on whole texts however long.
 
-Bounds, both parameters: at most ``max_positive`` and ``max_unlabelled`` labelled
-rows, those with the smallest hash of their id. Defined results: null and empty
-texts get the score of a text without features; rows with a null label teach
-nothing; without positives, every score is 0.
+Bounds, both parameters: at most ``max_positive`` positive and ``max_unlabelled``
+unlabelled rows teach, those with the smallest hash of their id. Features are counted in
+tasks; to the driver go the ``MOST`` best ones, and for each teaching row which of these it
+has. Defined results: null and empty texts get the score of a text without features; rows
+with a null label or id teach nothing, and an id that is labelled twice counts as toxic if
+one of them says so; without positives, and for an empty table of documents to learn
+from, every score is 0; repeated rows and equal texts get equal scores; further columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -28,10 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, read, small_batches
+from graphloom.llm.common import fold, read, scratch, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
+#: Features of a model.
+MOST = 512
+#: With fewer positives than this the prior can't be told from the data, and is taken as the second number.
+FEW, PRIOR_OF_FEW = 50, 0.1
 
 
 def features(text: str, memo: dict[str, list[int]]) -> np.ndarray:
@@ -103,66 +116,98 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.margin(found), -50, 50)))) if self.chosen.size else 0.0
 
 
-def _dense(sets: list[np.ndarray], chosen: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sets), chosen.size))
-    for row, found in enumerate(sets):
+def _bits(found: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which of the chosen features a text has."""
+    out = np.zeros(chosen.size, bool)
+    if chosen.size:
         at = np.minimum(np.searchsorted(chosen, found), chosen.size - 1)
-        out[row, at[chosen[at] == found]] = 1
-    return out * weight
+        out[at[chosen[at] == found]] = True
+    return out
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 512, least_z: float = 6.0, least_seen: int = 5, members: int = 3, seed: int = 11) -> ToxicityModel:
-    """Picks features by how far their share among positives stands above that in all, then trains."""
-    if not positive or not unlabelled:
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from scores of both: the least ratio of their tails, by its upper confidence bound."""
+    at = np.unique(positive)
+    share = lambda x: (len(x) - np.searchsorted(np.sort(x), at, side="left")) / len(x)
+    p, u = share(positive), share(unlabelled)
+    slack = np.sqrt(np.log(4 / delta) / 2 / len(unlabelled)) + np.sqrt(np.log(4 / delta) / 2 / len(positive))
+    return float(np.clip((u / p)[np.argmin((u + slack) / p)], 0.5 / len(unlabelled), 0.9))
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior, from the features of both sets: one half of each is scored by log ratios learnt from the other."""
+    if min(len(positive), len(unlabelled)) < FEW:
+        return PRIOR_OF_FEW
+    (a, b), (c, d) = ((x[::2], x[1::2]) for x in (positive, unlabelled))
+    weight = np.log((a.mean(axis=0) + 0.5 / len(a)) / (c.mean(axis=0) + 0.5 / len(c)))
+    return best_bin(b @ weight, d @ weight)
+
+
+def train(chosen: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, members: int = 3, seed: int = 11) -> ToxicityModel:
+    """``chosen`` feature numbers, and which of them each positive and unlabelled text has."""
+    if not chosen.size or not len(positive) or not len(unlabelled):
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    ids, in_p = np.unique(np.concatenate(positive), return_counts=True)
-    often = in_p >= min(least_seen, max(2, len(positive) // 4))
-    ids, in_p = ids[often], in_p[often]
-    if not ids.size:
-        return ToxicityModel(ids, np.zeros(0), 0.0)
-    every = np.concatenate(unlabelled)
-    at = np.minimum(np.searchsorted(ids, every), ids.size - 1)
-    in_u = np.bincount(at[ids[at] == every], minlength=ids.size)
-    p, u = in_p / len(positive), np.maximum(in_u, 1) / len(unlabelled)
-    z = (p - u) / np.sqrt(u * (1 - np.minimum(u, 0.999)) / len(positive))
-    able = np.flatnonzero(z >= least_z)
-    best = np.sort(able[np.argsort(-z[able], kind="stable")[:most]])
-    chosen, p, u = ids[best], p[best], u[best]
-    if not chosen.size:
-        return ToxicityModel(chosen, np.zeros(0), 0.0)
+    positive, unlabelled = positive.astype(float), unlabelled.astype(float)
+    prior = prior_of(positive, unlabelled) if prior is None else min(0.9, prior)
+    p, u = positive.mean(axis=0), np.maximum(unlabelled.mean(axis=0), 1 / len(unlabelled))
     # the log ratio to an estimate of the share among negatives sets each feature's scale
     rest = np.maximum(u - prior * p, 0.5 / len(unlabelled)) / (1 - prior)
-    scale = np.clip(np.log(p / rest), 0.1, 8)
-    a, b = (_dense(x, chosen, scale) for x in (positive, unlabelled))
+    scale = np.clip(np.log(np.maximum(p, 1e-9) / rest), 0.1, 8)
+    a, b = positive * scale, unlabelled * scale
     rng = np.random.default_rng(seed)
     fits = [PULinear(prior).fit(a[rng.integers(0, len(a), len(a))], b[rng.integers(0, len(b), len(b))]) for _ in range(members)]
     return ToxicityModel(chosen, scale * np.mean([f.w for f in fits], axis=0), float(np.mean([f.b for f in fits])))
 
 
-def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many positive and unlabelled texts of a batch have each feature."""
     memo: dict[str, list[int]] = {}
     for batch in batches:
         found = [features(t or "", memo) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array([f.tobytes() for f in found], pa.binary())], names=["positive", "unlabelled", "found"])
+        if not found:
+            continue
+        at, back = np.unique(np.concatenate(found), return_inverse=True)
+        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        counts = [np.bincount(back, batch.column(c).to_numpy(zero_copy_only=False)[row].astype(float), at.size).astype(np.int64) for c in ("positive", "unlabelled")]
+        yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, counts)], names=["feature", "in_p", "in_u"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 6000) -> ToxicityModel:
-    """``documents``: doc_id, text. ``labels``: doc_id, toxic; only its rows teach."""
+def fit(documents: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 6000, prior: float | None = None, least_z: float = 6.0, least_seen: int = 5) -> ToxicityModel:
+    """``documents``: doc_id, text. ``labels``: doc_id, toxic; of the values only 1 is looked at."""
     spark = documents.sparkSession
     small_batches(spark)
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "toxic", F.xxhash64("doc_id").alias("_order"))
-    counts = known.agg(F.avg("toxic").alias("prior")).first()
-    if not counts["prior"]:
-        return train([], [], 0.0)
-    positive = known.filter("toxic = 1").orderBy("_order", "_id").limit(max_positive).select("_id", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled"))
-    unlabelled = known.orderBy("_order", "_id").limit(max_unlabelled).select("_id", F.lit(False).alias("positive"), F.lit(True).alias("unlabelled"))
-    sample = positive.unionByName(unlabelled).groupBy("_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
+    known = labels.filter(F.col("doc_id").isNotNull())
+    positive = known.filter("toxic = 1").select(F.col("doc_id").alias("_id")).distinct()
+    ids = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    free = ids.join(known.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    if free.isEmpty():
+        free = ids
+    taught = lambda f, n, p: f.orderBy(F.xxhash64("_id"), "_id").limit(n).select("_id", F.lit(p).alias("positive"), F.lit(not p).alias("unlabelled"))
+    both = taught(positive, max_positive, True).unionByName(taught(free, max_unlabelled, False)).groupBy("_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
     # at most max_positive + max_unlabelled rows of a few bytes: a proven bound
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "positive", "unlabelled")
-    rows = texts.mapInArrow(_feature_task, "positive boolean, unlabelled boolean, found binary").toArrow().to_pandas()
-    sets = [np.frombuffer(x, np.int64) for x in rows["found"]]
-    pick = lambda c: [s for s, x in zip(sets, rows[c], strict=True) if x]
-    return train(pick("positive"), pick("unlabelled"), min(0.9, counts["prior"]))
+    rows = documents.select("doc_id", "text").join(F.broadcast(both), F.col("doc_id") == F.col("_id")).select("text", "positive", "unlabelled")
+    rows = scratch(spark, rows, "taught")
+    size = rows.agg(F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")).first()
+    if not size["p"] or not size["u"]:
+        return train(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0)))
+    # features whose share among positives stands above that in all
+    counted = rows.mapInArrow(_count_task, "feature long, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    p, u = F.col("in_p") / size["p"], F.greatest("in_u", F.lit(1)) / size["u"]
+    z = (p - u) / F.sqrt(u * (1 - F.least(u, F.lit(0.999))) / size["p"])
+    able = counted.filter(F.col("in_p") >= min(least_seen, max(2, size["p"] // 4))).withColumn("z", z).filter(F.col("z") >= least_z)
+    chosen = np.array(sorted(r["feature"] for r in able.orderBy(F.desc("z"), "feature").limit(MOST).collect()), np.int64)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list[int]] = {}
+        for batch in batches:
+            bits = [np.packbits(_bits(features(t or "", memo), chosen)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array(bits, pa.binary())], names=["positive", "unlabelled", "bits"])
+
+    held = rows.mapInArrow(task, "positive boolean, unlabelled boolean, bits binary").orderBy("bits", "positive", "unlabelled").toArrow().to_pandas()
+    bits = np.array([np.unpackbits(np.frombuffer(x, np.uint8), count=chosen.size) for x in held["bits"]], np.uint8).reshape(len(held), chosen.size)
+    order = np.random.default_rng(3).permutation(len(held))  # halves of the sets are taken in this order
+    bits, positive, unlabelled = bits[order], held["positive"].to_numpy(bool)[order], held["unlabelled"].to_numpy(bool)[order]
+    return train(chosen, bits[positive], bits[unlabelled], prior)
 
 
 def score(documents: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

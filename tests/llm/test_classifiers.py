@@ -73,3 +73,58 @@ def test_risk_stays_non_negative():
     loss = lambda z: 1 / (1 + np.exp(z))
     g = lambda x: x @ model.w + model.b
     assert loss(-g(u.astype(float))).mean() - 0.3 * loss(-g(p.astype(float))).mean() > -0.1
+
+
+def test_language_tables_of_all_kinds(spark, docs):
+    model = langid.fit(docs((1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr")))
+    twice = langid.classify(docs((7, "the dog"), (7, "the dog"), (None, "le chien")), model).collect()
+    assert sorted((r["doc_id"] is None, r["lang_pred"]) for r in twice) == [(False, "en"), (False, "en"), (True, "fr")]
+    assert langid.classify(docs((1, "a")).limit(0), model).count() == 0 and langid.fit(docs((1, "a")).limit(0))[0] == []
+
+
+def test_quality_tables_of_all_kinds(spark, docs):
+    stats = quality.document_statistics(docs((1, "a fine text."), (1, "a fine text."), (None, "a fine text.")))
+    one = quality.fit(stats.withColumn("y", F.lit(1)).withColumn("part", F.lit(1)))
+    assert [r["score"] for r in quality.score(stats, one).collect()] == [1.0] * 3
+    empty = quality.document_statistics(docs((1, "a")).limit(0))
+    assert quality.score(empty, one).count() == 0
+    none = quality.fit(empty.withColumn("y", F.lit(1)).withColumn("part", F.lit(1)))
+    assert {r["score"] for r in quality.score(stats, none).collect()} == {0.5}
+
+
+def _words(rng):
+    return [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+
+
+def test_toxicity_reads_no_negative_labels(spark, docs):
+    rng = np.random.default_rng(5)
+    words = _words(rng)
+    frame = docs(*[(i, " ".join(rng.choice(words, 30)) + (" rotten" if i % 6 == 0 else "")) for i in range(900)])
+    rows = [(i, int(i % 6 == 0)) for i in range(300)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    turned = spark.createDataFrame([(i, y if y else None) for i, y in rows] + rows[:50], "doc_id long, toxic int")
+    a, b = (toxicity.score(frame, toxicity.fit(frame, x)).orderBy("doc_id").collect() for x in (labels, turned))
+    assert a == b and np.mean([(r["predicted"] == 1) == (r["doc_id"] % 6 == 0) for r in a]) >= 0.98
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(6)
+    for prior in (0.05, 0.3):
+        positive = rng.random((1500, 12)) < 0.5
+        unlabelled = np.where((rng.random(3000) < prior)[:, None], rng.random((3000, 12)) < 0.5, rng.random((3000, 12)) < 0.03)
+        assert abs(toxicity.prior_of(positive.astype(float), unlabelled.astype(float)) - prior) < 0.04
+
+
+def test_toxicity_tables_of_all_kinds(spark, docs):
+    labels = spark.createDataFrame([(0, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    nothing = toxicity.fit(docs((1, "a")).limit(0), labels)
+    frame = docs((1, "x " * 300_000), (1, "bad"), (1, "bad"), (None, None), (2, "")).withColumnRenamed("source", "score").withColumnRenamed("lang", "predicted")
+    rows = toxicity.score(frame, nothing).collect()
+    assert len(rows) == 5 and {r["score"] for r in rows} == {0.0}
+    assert toxicity.score(frame.limit(0), nothing).count() == 0
+
+
+def test_toxicity_query_on_held_out_labels(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    rows = toxicity.op2_toxicity(spark, SMALL).join(labels, "doc_id").filter("held_out").collect()
+    assert rows and np.mean([r["predicted"] == r["toxic"] for r in rows]) >= 0.9
