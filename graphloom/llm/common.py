@@ -43,15 +43,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/graphloom-scratch/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def scratch(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """``frame`` as a Parquet table in the shared folder.
 
     It cuts the lineage: a lost executor costs no recomputation of what is
     above it. The table goes when the application ends.
     """
-    path = f"{shared_folder(spark)}/graphloom-scratch/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     frame.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(frame.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, packing, pii, quality, toxicity
+from graphloom.llm import chat_format, decontaminate, divergence, exact_dedup, jaccard_join, langid, line_dedup, packing, pii, quality, records, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.op8_language_id,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_divergence": divergence.op12_divergence,
+        "op13_records": records.op13_records,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op3_chat_format": chat_format.OP3_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_spelling": spelling.OP11_SQL,
+        "op12_divergence": divergence.OP12_SQL,
     }
