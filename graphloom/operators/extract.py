@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators.concepts import MOST_TOKENS, concept_spans
 
 
 def edges_per_document(documents: DataFrame, relations: Column, doc_id: str = "id") -> DataFrame:
@@ -81,36 +82,12 @@ def transitions(events: DataFrame, by: str, order: list[str], state: str) -> Dat
     return edge_counts(events.select(F.lag(state).over(window).alias("src"), F.col(state).alias("dst")).filter("src is not null and dst is not null"))
 
 
-def tag_concepts(documents: DataFrame, concepts: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens", longest: int = 8, most_literals: int = 2000) -> DataFrame:
-    """doc_id, at, length, concept: at each place the shortest concept that begins there; those within an earlier one are dropped.
+def tag_concepts(documents: DataFrame, concepts: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens", overlaps: str = "first", most_literals: int = MOST_TOKENS) -> DataFrame:
+    """doc_id, at, length, concept: at each place the shortest concept that begins there, without overlaps.
 
-    ``tokens`` are normalised words, ``concepts`` has ``concept`` as words parted by a space.
-    Starts are taken greedily from the left, so kept spans do not overlap. Up to ``most_literals``
-    concepts are looked up in place, in a hash set, so nothing is exploded but what is
-    found; more are joined, with n-grams without their documents.
+    Concepts of up to ``most_literals`` words in all are sent along, more are joined (:func:`concept_spans`).
     """
-    known = concepts.select("concept").filter("concept is not null").distinct()
-    few = [r[0] for r in known.limit(most_literals + 1).collect()]
-    # generated as a column of its own, so that what makes the tokens is not evaluated anew for each of them
-    documents = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(F.col(tokens))).alias("_tokens"))
-    size, words = F.size("_tokens"), F.col("_tokens")
-    first_words = sorted({c.split(" ")[0] for c in few})
-
-    def n_grams(at: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - at)), lambda n: F.struct(at.alias("at"), n.alias("length"), F.array_join(F.slice(words, at + 1, n), " ").alias("concept")))
-
-    every = F.when(size > 0, F.sequence(F.lit(0), size - 1))
-    if len(few) <= most_literals:
-        starts = F.filter(every, lambda i: F.get(words, i).isin(*first_words))
-        best = F.transform(starts, lambda i: F.get(F.filter(n_grams(i), lambda g: g["concept"].isin(*few)), F.lit(0)))
-        spans = documents.select("doc_id", F.filter(best, lambda x: x.isNotNull()).alias("spans")).filter("size(spans) > 0")
-    else:
-        grams = documents.select("doc_id", F.inline(F.flatten(F.transform(every, n_grams))))
-        found = grams.join(known, "concept").groupBy("doc_id", "at").agg(F.min(F.struct("length", "concept")).alias("best"))
-        spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("best.length").alias("length"), F.col("best.concept").alias("concept")))).alias("spans"))
-    empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,length:int,concept:string>>").alias("out"))
-    kept = F.aggregate("spans", empty, lambda s, x: F.when(x["at"] >= s["end"], F.struct((x["at"] + x["length"]).alias("end"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"])
-    return spans.select("doc_id", F.inline(kept))
+    return concept_spans(documents, concepts, doc_id, tokens, overlaps=overlaps, most_tokens=most_literals)
 
 
 def bio_tags(documents: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:

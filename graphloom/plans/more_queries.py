@@ -365,6 +365,6 @@ def concept_bio_tags(spark, d):
     """Begin, inside and outside tags of the concepts in each document, counted."""
     concepts = spark.range(1).select(F.explode(F.array(F.lit("in"), F.lit("of the"))).alias("concept"))
     docs = X.table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("tokens"))
-    tags = extract.bio_tags(docs, extract.tag_concepts(docs, concepts, longest=2))
+    tags = extract.bio_tags(docs, extract.tag_concepts(docs, concepts))
     count = lambda t: F.size(F.filter("tags", lambda x: x == t)).cast("bigint")
     return tags.select("doc_id", count("B").alias("n_b"), count("I").alias("n_i"), F.size("tags").cast("bigint").alias("n"))

@@ -820,7 +820,7 @@ def concept_tags(spark, d):
     """Spans of concepts in documents; none of these overlap, so every start is kept."""
     concepts = spark.range(1).select(F.explode(F.array(F.lit("in"), F.lit("of the"), F.lit("in the"))).alias("concept"))
     docs = X.table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("tokens"))
-    return extract.tag_concepts(docs, concepts, longest=2)
+    return extract.tag_concepts(docs, concepts)
 
 
 @query("SELECT event_type, count(*) AS size FROM events GROUP BY event_type")
