@@ -1,95 +1,136 @@
-"""Lexico-syntactic patterns over tagged text, as one regular expression for each.
+"""Lexico-syntactic patterns over tagged sentences.
 
-A sentence is a list of tokens with word, lemma and part-of-speech tag, written as one
-text in which each token is ``word/lemma/tag`` and a space, with a control character for the
-slash. A noun phrase is a run of nouns, perhaps of two runs with ``of``, ``--`` or ``'s``
-between; adverbs and adjectives may stand before it. A tagger is a parameter of the
-caller (:func:`tagged_documents`); none is built in.
+A sentence is a list of tokens with word, lemma and part-of-speech tag. Each token becomes one character: of its word,
+lemma and tag it tells what the rules ask for and no more. A rule is then a regular expression over single characters, so a run of
+nouns is a loop over a character class, and a match's place is the place of its tokens. A noun phrase is a run of
+nouns, perhaps of two runs with ``of``, ``--`` or ``'s`` between; adverbs and adjectives may stand before it.
+
+A rule's first phrase is only tried where it can begin: a place within a run of nouns or adverbs gives no match that the run's start does
+not give. Each run is thus read a bounded number of times, and a sentence takes time in proportion to
+its length. Matches of one rule do not overlap. A tagger is a parameter of the caller (:func:`tagged_documents`); none is built in.
+
+Null sentences have no pairs, as have null tokens, words, lemmas and tags (they count as empty ones).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-MARK = "\x1f"
-ANY = rf"[^{MARK} ]*"
-
+# The words and lemmas that the rules name, and the forms of tags.
+WORDS = ("of", "--", "'s", '"', "``", "''", ",", "such", "as", "including", "and", "or", "any", "some", "other", "which", "called", "most", "a", "an", "special", "case", "that", "member", "part", "given", "features", "properties", "Unlike", "Like", "all")
+LEMMAS = ("be", "subgenus", "example", "class", "group", "form", "type", "kind")
+TAGS = {"noun": "N.+", "adverb": "RB.?", "JJ": "JJ", "JJR": "JJR", "JJS": "JJS", "VBN": "VBN", "DT": "DT"}
 
-def token(word: str = ANY, lemma: str = ANY, tag: str = ANY) -> str:
-    return rf"(?:(?:{word}){MARK}(?:{lemma}){MARK}(?:{tag}) )"
+_WORD = {w: k for k, w in enumerate(WORDS, 1)}
+_LEMMA = {m: k for k, m in enumerate(LEMMAS, 1)}
+_TAG = {t: k for k, t in enumerate(TAGS, 1)}
+_FORMS = [(re.compile(form), _TAG[name]) for name, form in TAGS.items()]
+#: Characters of tokens begin in a private area, which holds all combinations.
+_FIRST, _LEMMAS, _TAGS = 0xE000, len(LEMMAS) + 1, len(TAGS) + 1
+PAIR = pa.struct([("src", pa.string()), ("dst", pa.string()), ("rule", pa.string())])
 
 
-NOUN = token(tag="N[^ ]+")
-PHRASE = rf"(?:{NOUN}+{token('of|--|' + chr(39) + 's')})?{NOUN}+"
-ADVERBS = rf"{token(tag='RB.?')}*"
-BEFORE = rf"(?:{ADVERBS}{token(tag='JJ|JJR|JJS|VBN')})?"
-BEFORE_ADJECTIVE = rf"(?:{ADVERBS}{token(tag='JJ|JJR|JJS')})?"
-QUOTE = token('"|``|' + "''")
-COMMA = token(",")
-BE = token(lemma="be")
+@cache
+def _tag(tag: str) -> int:
+    return next((k for form, k in _FORMS if form.fullmatch(tag)), 0)
 
 
-def _named(before: str) -> str:
-    return rf"{QUOTE}?({before}{PHRASE}){QUOTE}?"
+def character(word: str, lemma: str, tag: str) -> str:
+    """What the rules see of a token."""
+    return chr(_FIRST + (_WORD.get(word, 0) * _LEMMAS + _LEMMA.get(lemma, 0)) * _TAGS + _tag(tag))
 
 
-ONE, ADJECTIVE_ONE = _named(BEFORE), _named(BEFORE_ADJECTIVE)
+@cache
+def token(*words: str, lemmas: tuple[str, ...] = (), tags: tuple[str, ...] = (), not_words: tuple[str, ...] = ()) -> str:
+    """The class of all tokens with one of the words, lemmas and tags, as far as there are any, and none of ``not_words``."""
+    of_word = [k for w, k in _WORD.items() if w in words] if words else [k for k in range(len(WORDS) + 1) if k not in {_WORD[w] for w in not_words}]
+    of_lemma = [_LEMMA[m] for m in lemmas] if lemmas else range(_LEMMAS)
+    of_tag = [_TAG[t] for t in tags] if tags else range(_TAGS)
+    return "[" + "".join(chr(_FIRST + (w * _LEMMAS + m) * _TAGS + t) for w in of_word for m in of_lemma for t in of_tag) + "]"
 
 
-def _listed(times: str) -> str:
-    return rf"(?:{PHRASE}{COMMA}){times}"
-
-
-def rules() -> list[tuple[str, str, bool]]:
+@cache
+def rules() -> list[tuple[str, re.Pattern, bool]]:
     """(name, pattern with two groups, whether the parent is the first): the families, each list length a rule of its own."""
-    other = token("and|or") + token("any|some") + "?" + token("other")
+    noun, adverb = token(tags=("noun",)), token(tags=("adverb",))
+    phrase = f"{noun}+(?:{token('of', '--', chr(39) + 's')}{noun}+)?"
+    adjective, participle = token(tags=("JJ", "JJR", "JJS")), token(tags=("JJ", "JJR", "JJS", "VBN"))
+    quote, comma, be = token('"', "``", "''"), token(","), token(lemmas=("be",))
+
+    def named(before: str, lead: str = "") -> str:
+        """A phrase with what may stand before and around it; ``lead`` is for one at the beginning of a rule."""
+        begins = f"(?<!{adverb})" if lead else ""
+        return f"{quote}?(" + f"(?:{begins}{adverb}*{before}{noun}|{lead}{noun})" + f"{noun}*(?:{token('of', '--', chr(39) + 's')}{noun}+)?)" + f"{quote}?"
+
+    # a place behind a noun gives a match only if the place before it does
+    one, first, adjective_one = named(participle), named(participle, f"(?<!{noun})"), named(adjective)
+    # where two tokens of any kind go before: behind a noun, the place before it would do but for these tokens
+    third = named(participle, f"(?<!{token(not_words=('features', 'properties'))}{token(not_words=('of',))}{noun})")
+    listed = lambda times: f"(?:{phrase}{comma}){times}"
+    other = token("and", "or") + token("any", "some") + "?" + token("other")
     such, with_ = token("such") + token("as"), token("including")
-    kinds = token("which") + "?" + BE + token("an?") + token(tag="JJ") + "?" + token(lemma="subgenus|example|class|group|form|type|kind") + token("of")
+    kinds = token("which") + "?" + be + token("a", "an") + token(tags=("JJ",)) + "?" + token(lemmas=LEMMAS[1:]) + token("of")
+    # The rules' names and what each asks for.
     plain = [
-        ("example of", f"{ONE}{COMMA}?{kinds}{ONE}", False),
-        ("and other 0", f"{ONE}{COMMA}?{other}{ONE}", False),
-        ("which is called", f"{ONE}{COMMA}?{token('which')}{BE}{token('called')}{ONE}", False),
-        ("is JJS", f"{ONE}{COMMA}?{BE}{token(tag='JJS')}{token('most')}?{ONE}", False),
-        ("special case of", f"{ONE}{BE}{token('a')}{token('special')}{token('case')}{token('of')}{token(tag='DT')}?{ONE}", False),
-        ("is an X that", f"{ONE}{BE}{token('an?')}?{ADJECTIVE_ONE}{token('that')}", False),
-        ("is a [!part]", f"{token(tag='DT')}{ONE}{BE}{token('an?')}(?!(?:member|part|given){MARK}){token()}{ONE}", False),
-        ("!features such as", f"(?!(?:features|properties){MARK}){token()}(?!of{MARK}){token()}{ONE}{such}{ONE}", True),
-        ("like most", f"{token('Unlike|Like')}{token('most|all|any|other')}{ONE}{COMMA}{token(tag='DT')}?{ONE}", True),
-        ("including 0", f"{ONE}{COMMA}?{with_}{ONE}", True),
-        ("such as &", f"{ONE}{COMMA}?{such}{_listed('{1,9}')}{PHRASE}{COMMA}?{token('and')}{ONE}", True),
-        ("including &", f"{ONE}{COMMA}?{with_}{PHRASE}(?:{COMMA}{PHRASE}){{0,10}}{COMMA}?{token('and')}{ONE}", True),
+        ("example of", f"{first}{comma}?{kinds}{one}", False),
+        ("and other 0", f"{first}{comma}?{other}{one}", False),
+        ("which is called", f"{first}{comma}?{token('which')}{be}{token('called')}{one}", False),
+        ("is JJS", f"{first}{comma}?{be}{token(tags=('JJS',))}{token('most')}?{one}", False),
+        ("special case of", f"{first}{be}{token('a')}{token('special')}{token('case')}{token('of')}{token(tags=('DT',))}?{one}", False),
+        ("is an X that", f"{first}{be}{token('a', 'an')}?{adjective_one}{token('that')}", False),
+        ("is a [!part]", f"{token(tags=('DT',))}{one}{be}{token('a', 'an')}{token(not_words=('member', 'part', 'given'))}{one}", False),
+        ("!features such as", f"{token(not_words=('features', 'properties'))}{token(not_words=('of',))}{third}{such}{one}", True),
+        ("like most", f"{token('Unlike', 'Like')}{token('most', 'all', 'any', 'other')}{one}{comma}{token(tags=('DT',))}?{one}", True),
+        ("including 0", f"{first}{comma}?{with_}{one}", True),
+        ("such as &", f"{first}{comma}?{such}{listed('{1,9}')}{phrase}{comma}?{token('and')}{one}", True),
+        ("including &", f"{first}{comma}?{with_}{phrase}(?:{comma}{phrase}){{0,10}}{comma}?{token('and')}{one}", True),
     ]
-    lists = [(f"such as {n}", f"{ONE}{COMMA}?{such}{_listed(f'{{{n}}}')}{ONE}", True) for n in range(1, 7)]
-    lists += [(f"and other {n}", f"{ONE}(?:{COMMA}{PHRASE}){{{n}}}{COMMA}?{other}{ONE}", False) for n in range(1, 6)]
-    lists += [(f"including {n}", f"{ONE}{COMMA}?{with_}{_listed(f'{{{n}}}')}{ONE}", True) for n in range(1, 6)]
-    return plain + lists
-
-
-def encoded(tokens: Column) -> Column:
-    """array<struct<word, lemma, tag>> as one text."""
-    plain = lambda c: F.translate(c, f"{MARK} ", "__")
-    return F.array_join(F.transform(tokens, lambda t: F.concat(plain(t["word"]), F.lit(MARK), plain(t["lemma"]), F.lit(MARK), plain(t["tag"]), F.lit(" "))), "")
-
-
-def words_of(phrase: Column) -> Column:
-    return F.trim(F.regexp_replace(phrase, rf"{MARK}[^ ]*", ""))
+    lists = [(f"such as {n}", f"{first}{comma}?{such}{listed(f'{{{n}}}')}{one}", True) for n in range(1, 7)]
+    lists += [(f"and other {n}", f"{first}(?:{comma}{phrase}){{{n}}}{comma}?{other}{one}", False) for n in range(1, 6)]
+    lists += [(f"including {n}", f"{first}{comma}?{with_}{listed(f'{{{n}}}')}{one}", True) for n in range(1, 6)]
+    return [(name, re.compile(pattern), parent_first) for name, pattern, parent_first in plain + lists]
+
+
+def pairs_of(words: list[str], characters: str) -> list[tuple[str, str, str]]:
+    """(parent, child, rule) of one sentence."""
+    out = []
+    for name, pattern, parent_first in rules():
+        rest, at = characters, 0
+        while found := pattern.search(rest):
+            a, b = (" ".join(words[at + found.start(k) : at + found.end(k)]) for k in (1, 2))
+            out.append((a, b, name) if parent_first else (b, a, name))
+            # what went before is no longer there for the next match to look back at
+            at += found.end()
+            rest = rest[found.end() :]
+    return out
+
+
+@F.arrow_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("src", "dst", "rule")])))
+def _pairs(sentences: pa.Array) -> pa.Array:
+    flat = sentences.flatten()
+    words, lemmas, tags = ([x or "" for x in flat.field(k).to_pylist()] for k in range(3))
+    plain = [w.replace(" ", "_") for w in words]
+    characters = "".join(map(character, words, lemmas, tags))
+    ends = sentences.offsets.to_pylist()
+    begin, out = ends[0], []
+    for a, b, there in zip(ends[:-1], ends[1:], sentences.is_valid().to_pylist(), strict=True):
+        found = pairs_of(plain[a - begin : b - begin], characters[a - begin : b - begin]) if there else None
+        out.append(found if found is None else [{"src": x, "dst": y, "rule": r} for x, y, r in found])
+    return pa.array(out, pa.list_(PAIR))
 
 
 def tagged_pairs(tokens: Column) -> Column:
-    """array<struct<src (parent), dst (child), rule>> of a tagged sentence; matches of one rule do not overlap."""
-    text = encoded(tokens)
-
-    def rule(name: str, pattern: str, parent_first: bool) -> Column:
-        whole = F.lit(pattern)
-        firsts, seconds = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
-        one = lambda a, b: F.struct(words_of(a if parent_first else b).alias("src"), words_of(b if parent_first else a).alias("dst"), F.lit(name).alias("rule"))
-        return F.zip_with(firsts, seconds, one)
-
-    return F.concat(*[rule(*r) for r in rules()])
+    """array<struct<src (parent), dst (child), rule>> of tagged sentences, in Arrow batches."""
+    part = lambda t, k: F.coalesce(t[k], F.lit(""))
+    return _pairs(F.transform(tokens, lambda t: F.struct(part(t, "word").alias("word"), part(t, "lemma").alias("lemma"), part(t, "tag").alias("tag"))))
 
 
 def tagged_documents(documents: DataFrame, tagger: Callable[[str], list[list[tuple[str, str, str]]]], doc_id: str = "id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import ARROW
+from graphloom.functions.text import ARROW, ROOT
 
 # The wordings of the prompts, with their spelling, and the form of a response.
 PATHS_OPENING = """The following is an article's title and abstract. Your task is to assign this article to suitable category hierarchy. A category is typically represented by a word or a short phrase, representing broader topics/concepts that the article is about. A category hierarchy represented by a collection of paths from the generic root category "Main topic classifications" to a specific category suitable for the article. The topics titles should become more and more specific as you move from the root to the leaf. 
@@ -33,6 +33,8 @@ CONCEPTS_OPENING = """The following is an article's title and abstract. Suggest
 """
 CONCEPTS_CLOSING = "\nGive your answer as a comma-separated string.\n"
 RESPONSE = r"""^(Main topic classifications( -> [\w()\-\–\—,.?!/\\&\"\'+=\[\]\{\} ]+)+\n)*(Main topic classifications( -> [\w()\-\–\—,.?!/\\&\"\'+=\[\]\{\} ]+)+)\n?$"""
+#: A concept of it, for :func:`is_response`.
+CONCEPT = r"""(?U)\A[\w()\-\–\—,.?!/\\&\"\'+=\[\]\{\} ]+\z"""
 
 
 def article(title: Column, abstract: Column) -> Column:
@@ -84,4 +86,14 @@ def instruct_chat(messages: Column, begin: str = "<s>", end: str = "</s>") -> Co
 
 
 def is_response(x: Column) -> Column:
-    return x.rlike(RESPONSE)
+    """Whether a text is of the form of ``RESPONSE``: paths line by line, the last line perhaps ended too.
+
+    Lines and their concepts are looked at one by one, so a long text is no deep match. Letters are those of any script.
+    """
+    lines = F.split(F.regexp_replace(x, r"\n\z", ""), "\n", -1)
+
+    def path(line: Column) -> Column:
+        parts = F.split(line, ARROW, -1)
+        return (parts[0] == ROOT) & (F.size(parts) > 1) & F.forall(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda c: c.rlike(CONCEPT))
+
+    return F.forall(lines, path)

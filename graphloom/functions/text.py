@@ -67,32 +67,41 @@ def parse_concepts(x: Column) -> Column:
 def parse_triplets(x: Column) -> Column:
     """array<struct<head, type, tail>> from text marked with <triplet>, <subj> and <obj>.
 
-    A fold over the tokens: <triplet> begins a head, <subj> a tail and <obj> a relation. What
-    has a relation is given out when the next head or tail begins; the last needs all three parts.
+    Each <triplet> begins a head, each <subj> behind it a tail, and the words after the tail's last <obj> are its relation. A tail
+    without <obj> has the relation of the tail before it, and a relation that comes before any tail of its
+    head has the tail before the head. What has a relation comes out; the last of all needs head and tail too.
     """
-    tokens = F.filter(F.split(reduce(lambda t, s: F.replace(t, F.lit(s), F.lit("")), ("<s>", "<pad>", "</s>"), F.coalesce(x, F.lit(""))), r"\s+"), lambda t: t != "")
-    none = F.array().cast("array<struct<head:string,type:string,tail:string>>")
-    start = F.struct(F.lit("x").alias("at"), F.lit("").alias("head"), F.lit("").alias("type"), F.lit("").alias("tail"), none.alias("out"))
+    marks = reduce(lambda t, s: F.replace(t, F.lit(s), F.lit("")), ("<s>", "<pad>", "</s>"), F.coalesce(x, F.lit("")))
+    # each token with spaces of its own, so that marks side by side are found
+    spaced = F.array_join(F.transform(F.filter(F.split(marks, r"\s+"), lambda t: t != ""), lambda t: F.concat(F.lit(" "), t, F.lit(" "))), "")
+    words = lambda t: F.replace(F.trim(t), F.lit("  "), F.lit(" "))
+    pair = lambda tail, type_: F.struct(tail.alias("tail"), type_.alias("type"))
 
-    def grown(state: Column, name: str, mode: str, token: Column) -> Column:
-        return F.when(state["at"] == mode, F.concat(state[name], F.when(state[name] == "", F.lit("")).otherwise(F.lit(" ")), token)).otherwise(state[name])
+    def part(text: Column, k: Column) -> Column:
+        pieces = F.split(text, " <obj> ", -1)
+        return pair(F.when(k > 0, words(pieces[0])), F.when(F.size(pieces) > 1, words(F.element_at(pieces, -1))))
 
-    def step(state: Column, token: Column) -> Column:
-        head, subj, obj = token == "<triplet>", token == "<subj>", token == "<obj>"
-        found = F.struct(state["head"].alias("head"), state["type"].alias("type"), state["tail"].alias("tail"))
-        return F.struct(
-            F.when(head, "t").when(subj, "s").when(obj, "o").otherwise(state["at"]).alias("at"),
-            F.when(head, "").when(subj | obj, state["head"]).otherwise(grown(state, "head", "t", token)).alias("head"),
-            F.when(head | obj, "").when(subj, state["type"]).otherwise(grown(state, "type", "o", token)).alias("type"),
-            F.when(subj, "").when(head | obj, state["tail"]).otherwise(grown(state, "tail", "s", token)).alias("tail"),
-            F.when((head | subj) & (state["type"] != ""), F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"),
-        )
+    def chunk(text: Column, k: Column) -> Column:
+        head = F.when(k > 0, words(F.split(text, " <(?:subj|obj)> ", 2)[0])).otherwise("")
+        return F.struct(head.alias("head"), F.transform(F.split(text, " <subj> ", -1), part).alias("parts"))
 
-    def finish(state: Column) -> Column:
-        last = F.struct(state["head"].alias("head"), state["type"].alias("type"), state["tail"].alias("tail"))
-        return F.when((state["head"] != "") & (state["type"] != "") & (state["tail"] != ""), F.concat(state["out"], F.array(last))).otherwise(state["out"])
+    def whole(chunks: Column) -> Column:
+        def triplets(c: Column, i: Column) -> Column:
+            def triplet(p: Column, j: Column) -> Column:
+                before = F.filter(F.slice(c["parts"], F.lit(1), j), lambda q: q["type"].isNotNull())
+                type_ = F.coalesce(p["type"], F.when(j > 0, F.try_element_at(before, F.lit(-1))["type"]), F.lit(""))
+                earlier = F.filter(F.flatten(F.transform(F.slice(chunks, F.lit(1), i), lambda d: d["parts"])), lambda q: q["tail"].isNotNull())
+                tail = F.coalesce(p["tail"], F.when(p["type"].isNotNull() & (i > 0), F.try_element_at(earlier, F.lit(-1))["tail"]), F.lit(""))
+                last = (i == F.size(chunks) - 1) & (j == F.size(c["parts"]) - 1)
+                return F.struct(c["head"].alias("head"), type_.alias("type"), tail.alias("tail"), last.alias("last"))
 
-    return F.aggregate(tokens, start, step, finish)
+            return F.transform(c["parts"], triplet)
+
+        kept = F.filter(F.flatten(F.transform(chunks, triplets)), lambda t: (t["type"] != "") & (~t["last"] | ((t["head"] != "") & (t["tail"] != ""))))
+        return F.transform(kept, lambda t: F.struct(t["head"].alias("head"), t["type"].alias("type"), t["tail"].alias("tail")))
+
+    # bound to a name once, as it is looked at from each of its parts
+    return F.element_at(F.transform(F.array(F.transform(F.split(spaced, " <triplet> ", -1), chunk)), whole), 1)
 
 
 #: The relations that make an edge.
@@ -138,19 +147,28 @@ HEARST = (("such as", ",? such as ", True), ("as", ",? as ", True), ("include",
 
 
 def hearst_pairs(x: Column, rules: tuple = HEARST) -> Column:
-    """array<struct<src (parent), dst (child), rule>> from text whose noun phrases are marked ``NP_``."""
+    """array<struct<src (parent), dst (child), rule>> from text whose noun phrases are marked ``NP_``.
 
-    def rule(name: str, between: str, parent_first: bool) -> Column:
-        items = rf"(?:{NP}(?: |,|and|or)*)+"
-        clause = rf"{NP}{between}{items}" if parent_first else rf"{items}{between}{NP}"
+    Lists are read possessively, so nothing of them is read twice, however long they are: where the parent comes
+    last, each list is taken with or without one behind it, and those without go.
+    """
 
-        def pairs(m: Column) -> Column:
-            phrases = F.regexp_extract_all(m, F.lit(rf"({NP})"), F.lit(1))
-            parent = F.element_at(phrases, 1 if parent_first else -1)
+    def rule(name: str, between: str, parent_first: bool) -> Column:
+        if parent_first:
+            clause = rf"{NP}{between}(?:{NP}(?: |,|and|or)*+)++"
+        else:
+            # a word that begins what stands between list and parent is none of the list's
+            clause = rf"(?:{NP}(?:(?!{between}NP_)(?: |,|and|or))*+)++(?:{between}{NP})?"
+        found = F.regexp_extract_all(x, F.lit(f"({clause})"), F.lit(1))
+        if not parent_first:
+            found = F.filter(found, lambda m: m.rlike(rf"{between}{NP}\z"))
+
+        def pairs(phrases: Column) -> Column:
             rest = F.slice(phrases, F.lit(2 if parent_first else 1), F.size(phrases) - 1)
+            parent = F.element_at(phrases, 1 if parent_first else -1)
             return F.transform(rest, lambda child: F.struct(parent.alias("src"), child.alias("dst"), F.lit(name).alias("rule")))
 
-        return F.flatten(F.transform(F.regexp_extract_all(x, F.lit(f"({clause})"), F.lit(1)), pairs))
+        return F.flatten(F.transform(F.transform(found, lambda m: F.regexp_extract_all(m, F.lit(rf"({NP})"), F.lit(1))), pairs))
 
     return F.concat(*[rule(*r) for r in rules])
 

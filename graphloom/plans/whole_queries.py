@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import hearst
+from graphloom.functions import text as T
 from graphloom.graph import Graph
 from graphloom.operators import concepts, metrics, pairs, sampling
 from graphloom.plans import fixtures as X
@@ -110,3 +112,80 @@ def pair_classifier(spark, d):
     """Scores on held-out edges and non-edges; tests/test_pairs.py holds the gradient against numpy and the scores against the majority."""
     _, scored = classified(spark, d)
     return metrics.classification_scores(scored.select("label", (F.col("score") >= 0.5).cast("int").alias("predicted")), "label", "predicted")
+
+
+# patterns ------------------------------------------------------------------------
+
+_THINGS = ("tools", "rings", "bolts", "gears", "wires", "pumps", "belts")
+_OTHER = {",": ",", "which": "WDT", "is": "VBZ", "was": "VBD", "a": "DT", "an": "DT", "the": "DT", "any": "DT", "good": "JJ", "old": "JJ", "rare": "JJ", "cheap": "JJ", "special": "JJ", "such": "JJ", "other": "JJ", "few": "JJ", "most": "JJS", "biggest": "JJS", "bigger": "JJR"}
+_OTHER |= {"of": "IN", "as": "IN", "in": "IN", "Like": "IN", "that": "IN", "and": "CC", "or": "CC", "nor": "CC", "called": "VBN", "named": "VBD", "including": "VBG", "included": "VBN"}
+
+
+def _sentences() -> list[tuple[str, list[tuple[str, str, str]]]]:
+    """Sentences about a supplier (S) with the (parent, child, rule) in them: each of the rules, and for each a near miss."""
+    m, s = "machines", "S"
+    out = [
+        ("S , which is a good example of machines", [(m, s, "example of")]),
+        ("S , which is good example of machines", []),
+        ("S or any other machines", [(m, s, "and other 0")]),
+        ("S nor any other machines", []),
+        ("S , which is called machines", [(m, s, "which is called")]),
+        ("S , which was named machines", []),
+        ("S is biggest machines", [(m, s, "is JJS")]),
+        ("S is bigger machines", []),
+        ("S is a special case of the machines", [(m, s, "special case of")]),
+        ("S is a rare case of the machines", []),
+        ("S is an old machines that", [("old machines", s, "is an X that")]),
+        ("S is an old machines which", []),
+        ("the S is a cheap machines", [(m, s, "is a [!part]")]),
+        ("the S is a member machines", []),
+        ("in most machines such as S", [(m, s, "!features such as")]),
+        ("features in machines such as S", []),
+        ("most of machines such as S", []),
+        ("Like most machines , the S", [(m, s, "like most")]),
+        ("Like few machines , the S", []),
+        ("machines , including S", [(m, s, "including 0")]),
+        ("machines , included S", []),
+        ("machines such as tools , rings and S", [(m, s, "such as &"), (m, "rings", "such as 1")]),
+        ("machines such as tools and S", []),
+        ("machines including tools , rings and S", [(m, s, "including &"), (m, "tools", "including 0"), (m, "rings", "including 1")]),
+        ("machines including tools , rings or S", [(m, "tools", "including 0"), (m, "rings", "including 1")]),
+    ]
+    for n in range(7):  # a list of one less is the near miss of each length
+        things = [*_THINGS[:n], s]
+        out.append((f"machines such as {' , '.join(things)}", [(m, t, f"such as {k}") for k, t in enumerate(things) if k]))
+        out.append((f"machines including {' , '.join(things)}", [(m, t, f"including {k}") for k, t in enumerate(things) if k < 6]))
+        out.append((f"{' , '.join(reversed(things))} and other machines", [(m, t, f"and other {k}") for k, t in enumerate(things) if k < 6]))
+    return out
+
+
+def _token(word: str):
+    name = F.col("s_name") if word == "S" else F.lit(word)
+    lemma = {"is": "be", "was": "be"}.get(word, word)
+    return F.struct(name.alias("word"), (F.lower(name) if word == "S" else F.lit(lemma)).alias("lemma"), F.lit(_OTHER.get(word, "NNS")).alias("tag"))
+
+
+_RULE_ROWS = ", ".join(f"({k}, '{a}', '{b}', '{rule}')" for k, (_, found) in enumerate(_sentences()) for a, b, rule in found)
+
+
+@query(f"SELECT s_suppkey, k AS sentence, a AS src, CASE WHEN b = 'S' THEN s_name ELSE b END AS dst, rule FROM supplier, (VALUES {_RULE_ROWS}) v(k, a, b, rule)")
+def tagged_rules(spark, d):
+    """Every rule over tagged tokens, each with near misses beside it."""
+    rows = F.array(*[F.struct(F.lit(k).alias("sentence"), F.array(*map(_token, text.split())).alias("tokens")) for k, (text, _) in enumerate(_sentences())])
+    sentences = X.table(spark, d, "supplier").select("s_suppkey", F.inline(rows))
+    return sentences.select("s_suppkey", "sentence", F.inline(hearst.tagged_pairs(F.col("tokens"))))
+
+
+@query(
+    """WITH t AS (SELECT p_brand, list(p_name ORDER BY p_partkey) AS names FROM part GROUP BY p_brand), r AS (SELECT unnest(['such as', 'and other']) AS rule)
+    SELECT p_brand, rule, len(names) AS n, 'NP_' || p_brand AS src, 'NP_' || replace(names[1], ' ', '_') AS first, 'NP_' || replace(names[-1], ' ', '_') AS last FROM t, r"""
+)
+def long_lists(spark, d):
+    """One sentence a brand with all its parts, before and behind the brand's name."""
+    names = X.table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("parts"))
+    listed = F.array_join(F.transform("parts", lambda p: T.marked_phrase(p["p_name"])), ", ")
+    brand = F.concat(F.lit("NP_"), F.regexp_replace("p_brand", "#", "x"))
+    text = F.concat(brand, F.lit(" such as "), listed, F.lit("; "), listed, F.lit(" and other "), brand)
+    found = names.select("p_brand", F.posexplode(T.hearst_pairs(text)).alias("at", "pair"))
+    ends = [F.min_by("pair.dst", "at").alias("first"), F.max_by("pair.dst", "at").alias("last")]
+    return found.groupBy("p_brand", F.col("pair.rule").alias("rule")).agg(F.count("*").alias("n"), F.first(F.regexp_replace("pair.src", "x", "#")).alias("src"), *ends)

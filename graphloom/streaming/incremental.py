@@ -21,10 +21,14 @@ def new_rows(spark: SparkSession, schema: str, folder: str, form: str = "json",
 
 
 def resume(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id") -> None:
-    """Works through all new rows once, each key the first time it comes, and appends the results as JSON lines."""
+    """Works through all new rows once, each key the first time it comes, and writes the results as JSON lines.
+
+    Each batch has a folder of its own (``out/batch=0`` and so on). A batch whose end was not noted, because the run was stopped
+    behind the write, comes again with the same number and the same rows and replaces its folder, so no row is there twice.
+    """
 
     def batch(frame: DataFrame, number: int) -> None:
-        work(frame).write.mode("append").json(out)
+        work(frame).write.mode("overwrite").json(f"{out}/batch={number}")
 
     query = rows.dropDuplicates([key]).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
     query.awaitTermination()

@@ -1,5 +1,7 @@
 """Operators without SQL, and edge cases of those that have it."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +63,31 @@ def test_tagged_patterns(spark, text, want):
     assert {w for w in want if w[2] != "such as 0"} <= got
 
 
+def test_a_rule_begins_at_a_token(spark):
+    """A word that may not stand there is not dodged by beginning within it."""
+    for text, want in (("features/NNS in/IN animals/NNS such/JJ as/IN cats/NNS", []), ("some/DT features/NNS of/IN animals/NNS such/JJ as/IN cats/NNS", []), ("the/DT cats/NNS dogs/NNS pets/NNS such/JJ as/IN rats/NNS", [("dogs pets", "rats", "!features such as")])):
+        words = sentence(text)
+        assert hearst.pairs_of([w for w, _, _ in words], "".join(hearst.character(*t) for t in words)) == want
+
+
+def test_long_sentences_take_time_in_proportion():
+    """All rules over a hundred thousand nouns, a list of as many, and adverbs."""
+    noun, comma, adverb = (hearst.character(*t) for t in (("x", "x", "NN"), (",", ",", ","), ("so", "so", "RB")))
+    began = time.perf_counter()
+    for text in (noun * 100_000, (noun + comma) * 50_000, adverb * 100_000):
+        assert hearst.pairs_of(["x"] * len(text), text) == []
+    assert time.perf_counter() - began < 60
+    such = hearst.character("such", "such", "JJ") + hearst.character("as", "as", "IN")
+    assert {r for _, _, r in hearst.pairs_of(["x"] * 100_004, noun * 50_000 + such + noun * 50_000)} == {"!features such as"}
+
+
+def test_odd_sentences(spark):
+    kind = "tokens array<struct<word:string,lemma:string,tag:string>>"
+    rows = spark.createDataFrame([(None,), ([],), ([(None, None, None), ("a b", None, "NN"), ("such", "such", None), ("as", None, "IN"), ("c", "c", "NN")],), ([("p", "p", "NN"), ("including", None, None), ("q", "q", "NN")],)], kind)
+    got = [None if r[0] is None else [tuple(x) for x in r[0]] for r in rows.coalesce(1).select(hearst.tagged_pairs(F.col("tokens"))).collect()]
+    assert got == [None, [], [], [("p", "q", "including 0")]]
+
+
 def test_tagger_is_a_parameter(spark):
     docs = spark.createDataFrame([("a", "cats and other pets"), ("b", None)], "id string, text string")
     tags = {"cats": "NNS", "and": "CC", "other": "JJ", "pets": "NNS"}

@@ -57,3 +57,33 @@ def test_prompts(spark):
     assert text["r"] == "Main topic classifications -> X\n"
     assert "You must answer in the format of" in text["z"] and "### EXAMPLE 1 ###" in text["f"]
     assert rows.select(prompts.is_response(prompts.response(F.col("p"))).alias("x")).first()["x"]
+
+
+def test_long_texts_are_read_once(spark):
+    """A hundred thousand phrases, paths and concepts: no deep match, no phrase read again for each of the others."""
+    n = 100_000
+    phrases = ", ".join(f"NP_{i}" for i in range(n))
+    one = spark.createDataFrame([("\n".join([T.ROOT + " -> a -> b"] * n), T.ROOT + " -> a" * n, f"NP_p such as {phrases}", f"{phrases} and other NP_z", phrases)], "a string, b string, c string, d string, e string")
+    pairs = [F.size(T.hearst_pairs(F.col(c))).alias(c) for c in "cde"]
+    assert tuple(one.select(prompts.is_response(F.col("a")).alias("a"), prompts.is_response(F.col("b")).alias("b"), *pairs).first()) == (True, True, n, n, 0)
+
+
+def test_responses(spark):
+    good = [T.ROOT + " -> a", T.ROOT + " -> a\n", T.ROOT + " -> a -> b, (c)\n" + T.ROOT + " -> Caf\u00e9 3"]
+    bad = ["", T.ROOT, T.ROOT + "\n", T.ROOT + " -> ", T.ROOT + " -> a -> ", T.ROOT + " -> a\n\n" + T.ROOT + " -> b", T.ROOT + "->a", "x\n" + T.ROOT + " -> a", T.ROOT + " -> a>b", T.ROOT + " -> a\r", "\n" + T.ROOT + " -> a", " " + T.ROOT + " -> a"]
+    rows = spark.createDataFrame([(x,) for x in good + bad], "x string")
+    assert [r[0] for r in rows.select(prompts.is_response(F.col("x"))).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_triplets_out_of_order(spark):
+    """A tail takes the relation of the one before it, and a relation without a tail the tail before the head."""
+    cases = {
+        "<triplet> a <subj> b <obj> r <subj> c <triplet> d": [("a", "r", "b"), ("a", "r", "c")],
+        "<triplet> a <subj> b <obj> r <triplet> c <obj> q <triplet>": [("a", "r", "b"), ("c", "q", "b")],
+        "<subj> b <obj> r <subj> c": [("", "r", "b")],
+        "<triplet> a <subj> b <obj> r <obj> q s <subj>": [("a", "q s", "b")],
+        "x <triplet><subj> a <subj> b <obj>": [],
+        "<triplet> <subj> b <obj> r": [],
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "x string").select(T.parse_triplets(F.col("x")).alias("t")).collect()
+    assert [[tuple(t) for t in r["t"]] for r in rows] == list(cases.values())
