@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.runtime import bounded
+from graphloom.operators.tables import numbered
+from graphloom.operators.vectors import top_products
+from graphloom.runtime import bounded, materialise
 
 OTHER = "<OOV>"
 
@@ -107,10 +109,36 @@ def top_pairs(scored: DataFrame, n_nodes: int, factor: float = 10.0) -> DataFram
     return scored.orderBy(F.desc("score"), "row", "col").limit(min(int(n_nodes * factor), n_nodes * n_nodes))
 
 
+def top_cells(cells: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """row, col, score: the ``k`` best pairs of nodes (id) where a pair without a cell scores 0; ties in order of row, col.
+
+    Pairs have numbers in the order of their names, so of those without a cell only the first are looked at: as many as
+    are asked for, and one more for each cell.
+    """
+    names = materialise(numbered(nodes.select(F.col(nodes.columns[0]).alias("name")).filter("name is not null").distinct(), "name"), "names")
+    n = names.count()
+    end = lambda c: names.select(F.col("name").alias(c), F.col("at").alias(f"_{c}"))
+    known = materialise(cells.select("row", "col", F.col("v").cast("double").alias("score")).join(end("row"), "row").join(end("col"), "col").withColumn("pair", F.col("_row") * n + F.col("_col")), "known")
+    first = min(n * n, k + known.count())
+    free = known.sparkSession.range(first).select(F.col("id").alias("pair")).join(known, "pair", "left_anti")
+    free = free.withColumn("_row", F.expr(f"pair div {max(n, 1)}L")).withColumn("_col", F.expr(f"pair % {max(n, 1)}L")).join(end("row"), "_row").join(end("col"), "_col")
+    best = known.select("row", "col", "score", "pair").unionByName(free.select("row", "col", F.lit(0.0).alias("score"), "pair"))
+    return numbered(best, F.desc("score"), "pair").filter(F.col("at") < k).select("row", "col", "score")
+
+
 def smoothed_graph(cells: DataFrame, concepts: DataFrame, rank: int, factor: float = 10.0) -> DataFrame:
-    """src, dst, weight: the best-scored pairs of given concepts by the smoothed PPMI matrix; rows are sources."""
-    scored = svd_scores(ppmi(cells), all_pairs(concepts), rank)
-    return top_pairs(scored, concepts.distinct().count(), factor).select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("score").alias("weight"))
+    """src, dst, weight: the best-scored pairs of given concepts by the smoothed PPMI matrix; rows are sources.
+
+    Scores are products of factors, so the best ones are searched in blocks (:func:`top_products`). A
+    concept that the matrix does not know has factors of 0.
+    """
+    names = materialise(concepts.select(F.col(concepts.columns[0]).alias("id")).filter("id is not null").distinct(), "concepts")
+    n = names.count()
+    left, right, values = truncated_svd(ppmi(cells), rank)
+    zeros = F.array(*[F.lit(0.0)] * len(values))
+    side = lambda f, key, x: names.join(f.select(F.col(key).alias("id"), x), "id", "left").select("id", F.coalesce(x, zeros).alias("embed"))
+    best = top_products(side(left, "row", "u"), side(right, "col", "w"), min(int(n * factor), n * n))
+    return best.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("score").alias("weight"))
 
 
 def classified_pairs(pairs: DataFrame, scorer, keep: int | None = None) -> DataFrame:

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType
 
 from graphloom.graph import Graph
 from graphloom.operators.assignment import best_assignment
-from graphloom.runtime import bounded
-
-#: Vectors that are sent to every task: at most so many; larger right sides go block by block.
-BLOCK = 20_000
-
+from graphloom.operators.vectors import best_matches, nearest, pairs_above  # noqa: F401  searches by cosine
+from graphloom.runtime import materialise
 
 @pandas_udf(ArrayType(FloatType()))
 def trigram_embedding(titles: pd.Series) -> pd.Series:
@@ -73,74 +69,6 @@ def _unit(vectors: pd.Series) -> np.ndarray:
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _blocks(right: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """The right side in blocks of bounded size, by hash."""
-    n = max(1, -(-right.count() // (BLOCK // 2)))
-    for b in range(n):
-        rows = bounded(right.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b).select("id", "embed"), BLOCK, "a block of vectors")
-        yield [r["id"] for r in rows], _unit(pd.Series([r["embed"] for r in rows]))
-
-
-def _against(left: DataFrame, right: DataFrame, kind: str, work) -> DataFrame:
-    """``work(unit vectors of a batch, unit vectors of a block) -> (row, column, score)`` arrays, over all batches and blocks."""
-    out = None
-    id_kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    for ids, block in _blocks(right):
-        if not ids:
-            continue
-        shared = left.sparkSession.sparkContext.broadcast((np.array(ids, dtype=object), block))
-
-        def task(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, there = shared.value
-            for batch in batches:
-                if len(batch):
-                    rows, columns, scores = work(_unit(batch["embed"]), there, batch["id"].to_numpy(), names)
-                    yield pd.DataFrame({"a": batch["id"].to_numpy()[rows], "b": names[columns], "score": scores})
-
-        part = left.select("id", "embed").mapInPandas(task, f"a {id_kind[0]}, b {id_kind[1]}, score double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else left.select(F.col("id").alias("a"), F.lit(None).cast(id_kind[1]).alias("b"), F.lit(0.0).alias("score")).limit(0)
-
-
-def pairs_above(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """a, b, score: pairs of ids whose cosine is at least ``threshold``. Batches against blocks; only hits come out."""
-
-    def work(x, y, _, __):
-        sims = x @ y.T
-        rows, columns = np.nonzero(sims >= threshold)
-        return rows, columns, sims[rows, columns]
-
-    return _against(left, right, "above", work)
-
-
-def nearest(left: DataFrame, right: DataFrame, k: int, itself: bool = False) -> DataFrame:
-    """a, b, score, place: the ``k`` most similar on the right of each on the left; equal ids are left out unless ``itself``."""
-
-    def work(x, y, mine, theirs):
-        sims = x @ y.T
-        if not itself:
-            sims = np.where(mine[:, None] == theirs[None, :], -np.inf, sims)
-        n = min(k, sims.shape[1])
-        columns = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-        cut = np.take_along_axis(sims, columns, 1).min(axis=1, keepdims=True)
-        rows, columns = np.nonzero((sims >= cut - 1e-9) & np.isfinite(sims))  # ties are decided below
-        return rows, columns, sims[rows, columns]
-
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return _against(left, right, "nearest", work).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-
-
-def best_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, score: the best cosine that each on the left has on the right."""
-
-    def work(x, y, _, __):
-        sims = x @ y.T
-        columns = np.argmax(np.where(np.isnan(sims), -np.inf, sims), axis=1)
-        return np.arange(len(x)), columns, sims[np.arange(len(x)), columns]
-
-    return _against(left, right, "best", work).groupBy("a").agg(F.max("score").alias("score"))
-
-
 def convolved(graph: Graph, rounds: int, direction: str = "forward", embed_column: str = "embed") -> DataFrame:
     """id, embed after rounds of a graph convolution with identity weights.
 
@@ -163,7 +91,7 @@ def convolved(graph: Graph, rounds: int, direction: str = "forward", embed_colum
 
 def graph_similarity(a: Graph, b: Graph, rounds: int = 3, direction: str = "forward") -> DataFrame:
     """One row, similarity: the mean best cosine of each side's vertices, averaged; 0 with an empty side."""
-    x, y = convolved(a, rounds, direction), convolved(b, rounds, direction)
+    x, y = (materialise(convolved(g, rounds, direction), "convolved") for g in (a, b))
     one, two = (best_matches(*p).agg(F.avg("score").alias(n)) for p, n in (((x, y), "x"), ((y, x), "y")))
     return one.join(two).select(((F.coalesce("x", F.lit(0.0)) + F.coalesce("y", F.lit(0.0))) / 2).alias("similarity"))  # one row each
 

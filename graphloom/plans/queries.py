@@ -457,10 +457,9 @@ def ppmi(spark, d):
 
 @query(f"WITH {X.TRADE_EDGES} SELECT src AS row, dst AS col, weight AS score FROM trade_edges ORDER BY weight DESC, row, col LIMIT 250")
 def topk_pairs(spark, d):
-    edges = X.trade_edges(spark, d)
-    nodes = endpoints(edges)
-    scored = association.lookup(_cells(spark, d), association.all_pairs(nodes))
-    return association.top_pairs(scored, nodes.count(), 10)
+    nodes = endpoints(X.trade_edges(spark, d))
+    n = nodes.count()
+    return association.top_cells(_cells(spark, d), nodes, min(10 * n, n * n))
 
 
 @query()

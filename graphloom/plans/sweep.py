@@ -103,7 +103,7 @@ METRICS: dict[str, Callable[[Graph, Graph, DataFrame], DataFrame]] = {
     "edge": lambda p, t, e: metrics.edge_scores(p, t),
     "edge_hard": lambda p, t, e: similarity.edge_match(p, t, e, 0.436),
     "edge_soft": lambda p, t, e: similarity.soft_edge_match(p, t, e),
-    "graph": lambda p, t, e: similarity.graph_match(_embedded(p, e), _embedded(t, e), 2, "undirected"),
+    "graph": lambda p, t, e: similarity.graph_match(_embedded(p, e), _embedded(t, e), 2, "forward"),
     "motif": lambda p, t, e: structure.motif_distance(structure.motif_census(p.edges), structure.motif_census(t.edges)),
 }
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import hearst
 from graphloom.functions import text as T
 from graphloom.graph import Graph
-from graphloom.operators import concepts, metrics, pairs, sampling
+from graphloom.operators import concepts, metrics, pairs, sampling, vectors
 from graphloom.plans import fixtures as X
-from graphloom.plans.queries import _six, query
+from graphloom.plans.queries import _COSINE, _six, _vectors, query
 from graphloom.runtime import materialise
 
 # concepts ------------------------------------------------------------------------
@@ -114,6 +114,34 @@ def pair_classifier(spark, d):
     return metrics.classification_scores(scored.select("label", (F.col("score") >= 0.5).cast("int").alias("predicted")), "label", "predicted")
 
 
+# searches over vectors -----------------------------------------------------------
+
+
+@query(f"WITH {_COSINE} SELECT a, b, round(score, 6) AS score FROM sims WHERE score >= 0.3")
+def cosine_pairs_all(spark, d):
+    """All pairs of all vectors above the threshold."""
+    v = _vectors(spark, d)
+    return vectors.pairs_above(v, v, 0.3).select("a", "b", _six("score"))
+
+
+@query(f"WITH {_COSINE}, x AS (SELECT a, max(score) AS s FROM sims WHERE a <> b GROUP BY a) SELECT a, round(s, 6) AS score FROM x")
+def best_matches_all(spark, d):
+    """The best cosine that each vector has to another."""
+    v = _vectors(spark, d)
+    return vectors.nearest(v, v, 1).select("a", _six("score"))
+
+
+_WIDE = """w AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS e FROM embeddings),
+    p AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS score FROM w a JOIN w b ON true)"""
+
+
+@query(f"WITH {_WIDE} SELECT a, b, round(score, 5) AS score FROM p ORDER BY p.score DESC, a, b LIMIT 5000")
+def top_products(spark, d):
+    """The 5000 pairs of vectors of seven lengths with the greatest products."""
+    v = _vectors(spark, d).withColumn("embed", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("id") % 7)))
+    return vectors.top_products(v, v, 5000).select("a", "b", F.round("score", 5).alias("score"))
+
+
 # patterns ------------------------------------------------------------------------
 
 _THINGS = ("tools", "rings", "bolts", "gears", "wires", "pumps", "belts")
