@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from graphloom.llm.common import read, scratch, small_batches
 #: Cells of a row of the sketch; each term has one in each of two rows.
 CELLS = 1 << 21
 SLICE = 1 << 16
-#: Entries that a task holds before it hands them on.
-HELD = 400_000
+#: Entries that a task holds before it hands them on, and rows that it hands on at once.
+HELD, ROWS = 2_000_000, 50_000
 SCALE = 1_000_000_000
 #: How many terms of a source are reported.
 RANKS = 200
@@ -89,7 +90,7 @@ def sketch_of(rows: DataFrame, cells: int = CELLS) -> np.ndarray:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(set(terms_of(text)))
-            if sum(map(len, held.values())) > HELD:
+            if sum(map(len, held.values())) > HELD // 5:
                 flush()
         flush()
         flat = sketch.ravel()
@@ -112,37 +113,84 @@ def sketch_of(rows: DataFrame, cells: int = CELLS) -> np.ndarray:
     return out.reshape(2, cells)
 
 
+def _tallies(texts: list[str], group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of some texts; and for each group and term (by its number) that occurs, how often and in how many texts."""
+    plain = pa.array([t.encode("utf-8", "surrogatepass").translate(_BYTES) for t in texts], pa.large_binary()).cast(pa.large_string())
+    split = pc.ascii_split_whitespace(plain)
+    found = split.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    size = max(1, len(found.dictionary))
+    number = found.indices.to_numpy().astype(np.int64)
+    real = pc.binary_length(found.dictionary).to_numpy()[number] > 0 if number.size else np.zeros(0, bool)  # white space at an end leaves an empty part
+    held, times = np.unique(doc[real] * size + number[real], return_counts=True)
+    key = group[held // size] * size + held % size
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    counts = np.add.reduceat(times, first) if first.size else np.zeros(0, np.int64)
+    return found.dictionary, key[first] // size, key[first] % size, counts, np.diff(first, append=key.size)
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (language and term, source, count, docs), sorted, those of the same first two added up."""
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    first = np.flatnonzero((np.diff(rows[0], prepend=-1) != 0) | (np.diff(rows[1], prepend=-1) != 0))
+    return np.stack([rows[0][first], rows[1][first], np.add.reduceat(rows[2], first), np.add.reduceat(rows[3], first)]) if first.size else rows
+
+
 def counts_of(rows: DataFrame, sketch, least: int) -> DataFrame:
-    """lang, source, term, count, docs: partial sums of terms that the sketch (a broadcast) lets through."""
+    """lang, term, sources (array of source, count, docs): partial sums of terms that the sketch (a broadcast) lets through."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sketch.value
-        held: dict[str, dict[str, tuple[Counter, Counter]]] = {}
+        sources: dict[str, int] = {}
+        terms: dict[tuple[str, str], int] = {}
+        held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, by_source in held.items():
-                terms = list({t for _, docs in by_source.values() for t in docs})
-                first, second = _cells(lang.encode(), terms, cells.shape[1])
-                good = np.minimum(cells[0][first], cells[1][second]) >= min(least, 255)
-                open_ = {t for t, ok in zip(terms, good.tolist(), strict=True) if ok}
-                for source, (counts, docs) in by_source.items():
-                    kept = [t for t in docs if t in open_]
-                    columns = (pa.array([lang] * len(kept), pa.string()), pa.array([source] * len(kept), pa.string()), pa.array(kept, pa.binary()).cast(pa.string()))
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([counts[t] for t in kept], pa.int64()), pa.array([docs[t] for t in kept], pa.int64())], names=names)
+            if not held:
+                return
+            total = _summed(np.concatenate(held, axis=1))
+            names = list(terms)
+            open_ = np.zeros(len(names), bool)
+            by_lang: dict[str, list[int]] = {}
+            for k, (lang, _) in enumerate(names):
+                by_lang.setdefault(lang, []).append(k)
+            for lang, numbers in by_lang.items():
+                first, second = _cells(lang.encode("utf-8", "surrogatepass"), [names[k][1].encode("utf-8", "surrogatepass") for k in numbers], cells.shape[1])
+                open_[numbers] = np.minimum(cells[0][first], cells[1][second]) >= min(least, 255)
+            total = total[:, open_[total[0]]]
+            first = np.flatnonzero(np.diff(total[0], prepend=-1))
+            kept = total[0][first].tolist()
+            inner = pa.StructArray.from_arrays([pa.array(list(sources), pa.string()).take(pa.array(total[1])), pa.array(total[2]), pa.array(total[3])], ["source", "count", "docs"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, total.shape[1]).astype(np.int32)), inner)
+            out = pa.RecordBatch.from_arrays([pa.array([names[k][0] for k in kept], pa.string()), pa.array([names[k][1] for k in kept], pa.string()), lists], names=["lang", "term", "sources"])
             held.clear()
+            terms.clear()
+            for at in range(0, out.num_rows, ROWS):
+                yield out.slice(at, ROWS)
 
-        names = ["lang", "source", "term", "count", "docs"]
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                counts, docs = held.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
-                found = Counter(terms_of(text))
-                counts.update(found)
-                docs.update(found.keys())
-            if sum(len(docs) for by_source in held.values() for _, docs in by_source.values()) > HELD:
-                yield from flush()
+            if not batch.num_rows:
+                continue
+            pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
+            groups = {g: k for k, g in enumerate(dict.fromkeys(pairs))}
+            words, group, number, count, docs = _tallies(batch.column("text").to_pylist(), np.array([groups[g] for g in pairs]))
+            langs = {lang: k for k, lang in enumerate(dict.fromkeys(lang for lang, _ in groups))}
+            lang_of, source_of = np.array([langs[g] for g, _ in groups]), np.array([sources.setdefault(s, len(sources)) for _, s in groups])
+            size = max(1, len(words))
+            own, back = np.unique(lang_of[group] * size + number, return_inverse=True)
+            by_number, text = list(langs), words.to_pylist()
+            at = np.fromiter((terms.setdefault((by_number[k // size], text[k % size]), len(terms)) for k in own.tolist()), np.int64, own.size)
+            held.append(np.stack([at[back], source_of[group], count, docs]))
+            if sum(x.shape[1] for x in held) > HELD:
+                held[:] = [_summed(np.concatenate(held, axis=1))]
+                if held[0].shape[1] > HELD // 2:
+                    yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(task, "lang string, source string, term string, count long, docs long")
+    return rows.mapInArrow(task, "lang string, term string, sources array<struct<source: string, count: bigint, docs: bigint>>")
 
 
 def _share(count: Column, n: Column, v: Column) -> Column:
@@ -161,13 +209,16 @@ def divergences(spark: SparkSession, documents: DataFrame, text: str = "text", l
     small_batches(spark)
     rows = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(to) for c, to in ((text, "text"), (lang, "lang"), (source, "source"))])
     shared = spark.sparkContext.broadcast(sketch_of(rows.select("lang", "text"), cells))
-    counted = scratch(spark, counts_of(rows, shared, least).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "counted")
-    in_lang = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("in_lang")).filter(F.col("docs") >= least).drop("docs")
-    kept = scratch(spark, counted.drop("docs").join(in_lang, ["lang", "term"]), "kept")
+    counted = counts_of(rows, shared, least).repartition("lang", "term").select("lang", "term", F.inline("sources"))
+    # dealt by language and term, rows stay where they are for the sums by source and those over sources
+    counted = counted.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    kept = counted.withColumn("in_lang", F.sum("count").over(of_term)).withColumn("docs", F.sum("docs").over(of_term)).filter(F.col("docs") >= least).drop("docs")
+    kept = scratch(spark, kept, "kept")
 
     sources = rows.select("lang", "source").distinct()
     by_source = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("terms"))
-    by_lang = kept.select("lang", "term", "in_lang").distinct().groupBy("lang").agg(F.sum("in_lang").alias("n_lang"), F.count("*").alias("v"))
+    by_lang = kept.groupBy("lang", "term").agg(F.first("in_lang").alias("in_lang")).groupBy("lang").agg(F.sum("in_lang").alias("n_lang"), F.count("*").alias("v"))
     groups = sources.join(by_source, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0, ["n", "terms", "n_lang", "v"])
     absent = F.when(F.col("v") > 0, _share(F.lit(0), F.col("n"), F.col("v")))
     groups = scratch(spark, groups.withColumn("p0", absent), "groups")  # one row a source
