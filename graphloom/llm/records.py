@@ -7,12 +7,12 @@ take. The data of a record is a header of 16 bytes (id, number of ids, 2 or 4 by
 bytes each where the tokenizer's vocabulary fits, else four; an odd number of two-byte ids is padded.
 
 * **Writing.** Documents are dealt to tasks by ranges of the id, sorted, and encoded there, so nothing but the text
-  is shuffled. A task hands out blocks of about ``FILE_BYTES``; each becomes a file through Spark's own text writer, whose
-  line separator is the framed empty record: every file ends in one, and a cut file is noticed. Files
+  is shuffled. A task hands out blocks of about ``BLOCK_BYTES``, ``FILE_BLOCKS`` for a file, through Spark's own text writer, whose
+  line separator is the framed empty record: every block ends in one, and a cut file is noticed. Files
   come with the writer's commit protocol: lost tasks and second attempts leave none behind.
-* **Index.** One pass over the committed files, in tasks of a file each, checks all frames and writes where each record
+* **Index.** One pass over the committed files, some ``BLOCK_BYTES`` at a time, checks all frames and writes where each record
   is: file, offset, bytes, id, number of ids, and how many ids all records before it hold (ids are summed
-  up by file, then over blocks of files, then over blocks).
+  up by file, then over groups of files, then over groups).
 * **Reading.** ``read`` goes through files in order. ``read_shuffled`` deals index rows out in a seeded random order and
   fetches each record by its offset, without reading others.
 
@@ -38,13 +38,15 @@ from graphloom.llm.common import read as read_table
 from graphloom.llm.common import scratch, scratch_path, small_batches
 from graphloom.llm.packing import _tokenizer, default_tokenizer, encode
 
-#: Bytes of records after which a file ends.
-FILE_BYTES = 16 << 20
+#: Bytes of records after which a block ends, and blocks of a file.
+BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 32
 #: Bytes of text for each task that writes.
 TASK_BYTES = 64 << 20
 END = 1
 #: Files whose ids are summed up together in the index.
-BLOCK_FILES = 1000
+GROUP_FILES = 1000
+#: Words whose checksums are found together.
+WORDS = 1 << 20
 #: Rotation and constant of the mask (fixed values of the framing).
 ROTATE, DELTA = 15, 0xA282EAD8
 #: The reflected polynomial of CRC-32C (a fixed value).
@@ -79,12 +81,25 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 
 def checksums(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The masked CRC-32C of each of several messages, which are given as 32-bit words end to end; none is empty.
+    """The masked CRC-32C of each of several messages, which are given as 32-bit words end to end; none is empty."""
+    counts = counts.astype(np.int64)
+    upto = np.cumsum(counts)
+    out, first = [np.zeros(0, np.uint32)], 0
+    while first < counts.size:  # as many as there is room for
+        begin = int(upto[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, begin + WORDS, side="right")))
+        out.append(_checksums(words[begin : int(upto[last - 1])], counts[first:last]))
+        first = last
+    return np.concatenate(out)
+
+
+def _checksums(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of messages together.
 
     Neighbouring words are folded into one until each message is a single word: the checksum is linear, so
     ``fold(a, b)`` is ``a`` moved on over ``b``'s length, plus ``b``. Zeros in front of a message change nothing.
     """
-    words, counts = words.astype("<u4"), counts.astype(np.int64)
+    words = words.astype("<u4")
     first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     words[first] ^= np.uint32(0xFFFFFFFF)
     words = _advanced(words, _steps(0))
@@ -155,28 +170,26 @@ def unframed(content: bytes, file: str = "", ended: bool = True) -> tuple[list[i
     return offsets, datas
 
 
-def write(spark: SparkSession, documents: DataFrame, path: str, tokenizer: str, end: int = END, doc_id: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> None:
+def write(spark: SparkSession, documents: DataFrame, path: str, tokenizer: str, end: int = END, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, file_blocks: int = FILE_BLOCKS) -> None:
     """Writes ``path/data`` (records in ascending order of ids) and ``path/index``."""
     small_batches(spark)
     width = 2 if max(_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else 4
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([framed(held)], pa.binary())], names=["block"])
+
         for batch in batches:
-            datas = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist(), tokenizer), strict=True):
-                data = serialised(doc, np.append(np.frombuffer(ids, "<u4"), np.uint32(end)), width)
-                if datas and size + sum(map(len, held)) > file_bytes:
-                    held.append(framed(datas))
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["block"])
-                    held, datas, size = [], [], 0
-                datas.append(data)
-                size += len(data)
-            if datas:
-                held.append(framed(datas))
-                size = 0
+                if size > block_bytes:
+                    yield block()
+                    held, size = [], 0
+                held.append(serialised(doc, np.append(np.frombuffer(ids, "<u4"), np.uint32(end)), width))
+                size += len(held[-1]) + 16
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["block"])
+            yield block()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -185,27 +198,76 @@ def write(spark: SparkSession, documents: DataFrame, path: str, tokenizer: str,
     order = ["doc_id", "tie", "again"]
     dealt = rows.repartitionByRange(max(1, -(-total // TASK_BYTES), min(spark.sparkContext.defaultParallelism, -(-total // (4 << 20)))), *order).sortWithinPartitions(*order)
     blocks = dealt.select("doc_id", "text").mapInArrow(task, "block binary").select(F.col("block").cast("string").alias("value"))
-    blocks.write.option("lineSep", empty_record().decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(f"{path}/data")
+    blocks.write.option("lineSep", empty_record().decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_blocks).text(f"{path}/data")
     index(spark, path).write.parquet(f"{path}/index")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """file, part, chunk, content: the files in the order of (part, chunk), as Spark's writer names them."""
+    """file, part, chunk, size: the files in the order of (part, chunk), as Spark's writer names them; contents are not read here."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
     number = [F.regexp_extract(F.col("path"), pattern, 1).cast("int").alias(name) for pattern, name in ((r"/part-(\d+)-[^/]*$", "part"), (r"-c(\d+)\.[^/-]*$", "chunk"))]
-    return found.select(F.col("path").alias("file"), *number, "content")
+    return found.select(F.col("path").alias("file"), *number, F.col("length").alias("size"))
+
+
+class _Open:
+    """Open files of a task, the latest few; paths are URIs of any store that Arrow reads."""
+
+    def __init__(self, most: int = 64):
+        self.most, self.held = most, {}
+
+    def __call__(self, uri: str):
+        from pyarrow.fs import FileSystem
+
+        if uri not in self.held:
+            if len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held))).close()
+            store, name = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+            self.held[uri] = store.open_input_file(name)
+        return self.held[uri]
+
+
+def _complete(content: bytes) -> int:
+    """Where the last record of which all is there ends."""
+    at = 0
+    while at + 16 <= len(content):
+        after = at + 16 + int.from_bytes(content[at : at + 8], "little")
+        if after > len(content):
+            break
+        at = after
+    return at
+
+
+def records(opened: _Open, file: str, size: int, most: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Offsets and datas of a file's records, some at a time; frames are checked, and that the file ends as it should."""
+    at, rest, begin, last = 0, b"", 0, b""
+    while at < size:
+        # a record longer than this is read on until it is there, twice as far each time
+        rest += opened(file).read_at(min(max(most, len(rest)), size - at), at)
+        at = begin + len(rest)
+        end = _complete(rest)
+        if end:
+            offsets, datas = unframed(rest[:end], file, ended=False)
+            yield [begin + o for o in offsets], datas
+            last = rest[max(0, end - 16) : end]
+            rest, begin = rest[end:], begin + end
+    if rest or (size and last != empty_record()):
+        raise ValueError(f"no end of {file}")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in INDEX.split(", ")]
     kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
+    opened = _Open(1)
     for batch in batches:
-        for file, part, chunk, content in zip(*(batch.column(c) for c in ("file", "part", "chunk", "content")), strict=True):
-            offsets, datas = unframed(content.as_py(), file.as_py())
-            heads = [HEADER.unpack_from(d) for d in datas]
-            n = len(heads)
-            columns = ([file.as_py()] * n, [part.as_py()] * n, [chunk.as_py()] * n, offsets, [len(d) + 16 for d in datas], [None if h[3] else h[0] for h in heads], [h[1] for h in heads], list(accumulate([0, *(h[1] for h in heads)]))[:n])
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
+        for file, part, chunk, size in zip(*(batch.column(c).to_pylist() for c in ("file", "part", "chunk", "size")), strict=True):
+            own = 0
+            for offsets, datas in records(opened, file, size):
+                heads = [HEADER.unpack_from(d) for d in datas]
+                n = len(heads)
+                before = list(accumulate((h[1] for h in heads), initial=own))
+                own = before.pop()
+                columns = ([file] * n, [part] * n, [chunk] * n, offsets, [len(d) + 16 for d in datas], [None if h[3] else h[0] for h in heads], [h[1] for h in heads], before)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _earlier(value: str, order: list[str], *by: str) -> Column:
@@ -216,15 +278,14 @@ def _earlier(value: str, order: list[str], *by: str) -> Column:
 def index(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, bytes, doc_id, start (ids of all records before it), n_tokens: from the files, all frames checked.
 
-    It can be made again at any time. One row a block of files is summed up in one task.
+    It can be made again at any time. One row a group of files is summed up in one task.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
     entries = scratch(spark, _files(spark, path).mapInArrow(_entries, INDEX), "records-index")
-    files = entries.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("part") / BLOCK_FILES))
-    files = files.withColumn("before", _earlier("n", ["part", "chunk"], "block"))
-    blocks = files.groupBy("block").agg(F.sum("n").alias("m"))
-    blocks = blocks.select("block", _earlier("m", ["block"]).alias("blocks_before"))
-    starts = files.join(blocks, "block").select("part", "chunk", (F.col("before") + F.col("blocks_before")).alias("first"))
+    files = entries.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("part") / GROUP_FILES))
+    files = files.withColumn("before", _earlier("n", ["part", "chunk"], "group"))
+    groups = files.groupBy("group").agg(F.sum("n").alias("m"))
+    groups = groups.select("group", _earlier("m", ["group"]).alias("groups_before"))
+    starts = files.join(groups, "group").select("part", "chunk", (F.col("before") + F.col("groups_before")).alias("first"))
     return entries.join(starts, ["part", "chunk"]).select("file", "offset", "bytes", "doc_id", (F.col("first") + F.col("own")).alias("start"), "n_tokens")
 
 
@@ -232,44 +293,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, doc_id, ids (binary, 32-bit little-endian): all records, file by file, frames checked."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _Open(1)
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                offsets, datas = unframed(content.as_py(), file)
-                rows = [parsed(d) for d in datas]
-                columns = [pa.array([file] * len(rows), pa.string()), pa.array(offsets, pa.int64()), pa.array([r[0] for r in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary())], names=["file", "offset", "doc_id", "ids"])
+            for file, size in zip(batch.column("file").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                for offsets, datas in records(opened, file, size):
+                    rows = [parsed(d) for d in datas]
+                    columns = [pa.array([file] * len(rows), pa.string()), pa.array(offsets, pa.int64()), pa.array([r[0] for r in rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary())], names=["file", "offset", "doc_id", "ids"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return _files(spark, path).mapInArrow(task, "file string, offset long, doc_id long, ids binary")
 
 
-class _Open:
-    """Open files of a task, the latest few; paths are URIs of any store that Arrow reads."""
-
-    def __init__(self, most: int = 64):
-        self.most, self.held = most, {}
-
-    def __call__(self, uri: str):
-        from pyarrow.fs import FileSystem
-
-        if uri not in self.held:
-            if len(self.held) >= self.most:
-                self.held.pop(next(iter(self.held))).close()
-            store, name = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-            self.held[uri] = store.open_input_file(name)
-        return self.held[uri]
-
-
 def fetch(entries: DataFrame) -> DataFrame:
     """doc_id, start, ids: the records that these rows of the index name, in their order, each read by its offset alone."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = _Open()
         for batch in batches:
-            datas = []
-            for file, offset, size in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "bytes")), strict=True):
-                datas += unframed(opened(file).read_at(size, offset), file, ended=False)[1]
-            rows = [parsed(d) for d in datas]
+            places = zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "bytes")), strict=True)
+            raw = b"".join(opened(file).read_at(size, offset) for file, offset, size in places)  # checked together
+            rows = [parsed(d) for d in unframed(raw, "records of the index", ended=False)[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), batch.column("start"), pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary())], names=["doc_id", "start", "ids"])
 
     small_batches(entries.sparkSession)
@@ -280,7 +323,10 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
     """doc_id, start, ids of all records in a random order that depends on the seed alone, by way of the index."""
     kind = "file string, offset long, bytes long, doc_id long, start long, n_tokens long"
     place = F.xxhash64(F.lit(seed), "start")
-    return fetch(spark.read.schema(kind).parquet(f"{path}/index").repartitionByRange(place, "start").sortWithinPartitions(place, "start"))
+    entries = spark.read.schema(kind).parquet(f"{path}/index")
+    total = entries.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, -(-total // TASK_BYTES), min(spark.sparkContext.defaultParallelism, -(-total // (4 << 20))))
+    return fetch(entries.repartitionByRange(parts, place, "start").sortWithinPartitions(place, "start"))
 
 
 def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_query_against_whole_encoding(spark):
 
 def test_files_index_and_shuffled_reads(spark, docs, out):
     rows = [(i * 7 % 90, f"text number {i * 7 % 90} " * (i % 9)) for i in range(90)]
-    R.write(spark, docs(*rows).repartition(4), out, R.default_tokenizer(), file_bytes=700)
+    R.write(spark, docs(*rows).repartition(4), out, R.default_tokenizer(), block_bytes=300, file_blocks=2)
     files = sorted(r["path"] for r in spark.read.format("binaryFile").load(f"{out}/data").select("path").collect())
     assert len(files) > 5
     index = spark.read.parquet(f"{out}/index").orderBy("start").collect()
@@ -96,6 +96,23 @@ def test_damage_is_noticed():
             R.unframed(content[:end])
 
 
+def test_files_are_read_in_pieces(tmp_path):
+    """Pieces of any size give the same records; a file that is cut, or goes on, is noticed."""
+    rng = np.random.default_rng(8)
+    datas = [rng.bytes(4 * int(n)) for n in rng.integers(1, 60, 40)]
+    content = R.framed(datas[:25]) + R.empty_record() + R.framed(datas[25:]) + R.empty_record()
+    file = tmp_path / "records"
+    file.write_bytes(content)
+    whole = R.unframed(content)
+    for most in (1, 17, 100, 5000, 1 << 20):
+        parts = list(R.records(R._Open(), f"file://{file}", len(content), most))
+        assert ([o for p in parts for o in p[0]], [d for p in parts for d in p[1]]) == whole
+    for broken in (content[:-16], content[:-3], content + b"x" * 5):
+        file.write_bytes(broken)
+        with pytest.raises(ValueError):
+            list(R.records(R._Open(), f"file://{file}", len(broken), 100))
+
+
 def test_both_widths():
     ids = np.array([5, 70_000, 0], "<u4")
     assert R.parsed(R.serialised(9, ids, 4))[1].tolist() == ids.tolist()
