@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.factors import thin_factors
 from graphloom.operators.tables import numbered
 from graphloom.operators.vectors import top_products
-from graphloom.runtime import bounded, materialise
+from graphloom.runtime import materialise
 
 OTHER = "<OOV>"
 
@@ -46,12 +47,14 @@ def truncated_svd(cells: DataFrame, rank: int, most_nodes: int = 200_000, rounds
     """Left factors (row, u: scaled by the singular values), right factors (col, w), singular values.
 
     Subspace iteration: each round multiplies the sparse matrix by a thin one of width ``rank`` + 8 and
-    back, as a distributed sum over cells. Only thin matrices are on the driver, so the number of rows
-    and columns is bounded, and that of cells is not.
+    back, as a distributed sum over cells. With up to ``most_nodes`` rows and columns thin matrices are
+    on the driver; with more they are tables (:func:`graphloom.operators.factors.thin_factors`).
     """
     spark = cells.sparkSession
-    rows = [r["row"] for r in bounded(cells.select("row").distinct().orderBy("row"), most_nodes, "rows")]
-    columns = [r["col"] for r in bounded(cells.select("col").distinct().orderBy("col"), most_nodes, "columns")]
+    if any(cells.select(c).distinct().limit(most_nodes + 1).count() > most_nodes for c in ("row", "col")):
+        return thin_factors(cells, rank, rounds, seed)
+    rows = [r["row"] for r in cells.select("row").distinct().orderBy("row").collect()]
+    columns = [r["col"] for r in cells.select("col").distinct().orderBy("col").collect()]
     at_row, at_column = ({x: i for i, x in enumerate(xs)} for xs in (rows, columns))
     width = min(rank + 8, len(rows), len(columns))
 
@@ -88,9 +91,9 @@ def truncated_svd(cells: DataFrame, rank: int, most_nodes: int = 200_000, rounds
     return a, b, s[:k]
 
 
-def svd_scores(cells: DataFrame, pairs: DataFrame, rank: int) -> DataFrame:
+def svd_scores(cells: DataFrame, pairs: DataFrame, rank: int, most_nodes: int = 200_000) -> DataFrame:
     """row, col, score of pairs by the smoothed matrix; unknown rows and columns score 0."""
-    left, right, _ = truncated_svd(cells, rank)
+    left, right, _ = truncated_svd(cells, rank, most_nodes)
     value = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return pairs.join(left, "row", "left").join(right, "col", "left").select("row", "col", F.coalesce(value, F.lit(0.0)).alias("score"))
 

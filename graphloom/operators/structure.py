@@ -131,9 +131,57 @@ def motif_triples(edges: DataFrame) -> DataFrame:
     return triples.select("a", "b", "c", F.get(classes, number.cast("int")).alias("motif"))
 
 
+def triangles(edges: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """u, v, w, uv, uw, vw: every three vertices that are linked pair by pair; bits are 1 for an edge from the first, 2 for one to it.
+
+    Links go from the vertex with fewer of them to the one with more (by name if equal), so no vertex has more than
+    the root of twice their number, hubs included; triangles are the pairs of a vertex's links that are linked themselves.
+    """
+    linked = _linked(edges) if linked is None else linked
+    degree = linked.select(F.explode(F.array("p", "q")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    ranked = linked.join(degree.select(F.col("id").alias("p"), F.col("d").alias("dp")), "p").join(degree.select(F.col("id").alias("q"), F.col("d").alias("dq")), "q")
+    up = (F.col("dp") < F.col("dq")) | ((F.col("dp") == F.col("dq")) & (F.col("p") < F.col("q")))
+    high = F.struct(F.greatest("dp", "dq").alias("d"), F.when(up, F.col("q")).otherwise(F.col("p")).alias("id"))
+    out = ranked.select(F.when(up, F.col("p")).otherwise(F.col("q")).alias("low"), high.alias("high"), F.when(up, F.col("bits")).otherwise(_turned(F.col("bits"))).alias("bits"))
+    out = materialise(out, "upward")
+    first = out.select(F.col("low").alias("u"), F.col("high").alias("_v"), F.col("bits").alias("uv"))
+    second = out.select(F.col("low").alias("u"), F.col("high").alias("_w"), F.col("bits").alias("uw"))
+    closing = out.select(F.col("low").alias("v"), F.col("high.id").alias("w"), F.col("bits").alias("vw"))
+    return first.join(second, "u").filter("_v < _w").select("u", F.col("_v.id").alias("v"), F.col("_w.id").alias("w"), "uv", "uw").join(closing, ["v", "w"]).select("u", "v", "w", "uv", "uw", "vw")
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """p < q, bits (1: up, 2: down, 3: both): the pairs of distinct vertices with an edge between them."""
+    plain = edges.filter("src <> dst").select("src", "dst").distinct()
+    side = plain.select(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"), F.when(F.col("src") < F.col("dst"), 1).otherwise(2).alias("bit"))
+    return materialise(side.groupBy("p", "q").agg(F.sum("bit").cast("int").alias("bits")), "pairs")
+
+
+def _turned(bits: Column) -> Column:
+    """The bits of a pair as its other end sees them."""
+    return F.when(bits == 3, bits).otherwise(3 - bits)
+
+
 def motif_census(edges: DataFrame) -> DataFrame:
-    """motif, n, share: connected triples by isomorphism class."""
-    counted = motif_triples(edges).groupBy("motif").agg(F.count("*").alias("n"))
+    """motif, n, share: connected triples by isomorphism class.
+
+    Triangles are listed (:func:`triangles`). Triples with two links are not: how many a vertex is the middle of
+    follows from how many links of each kind it has, less those that a triangle closes.
+    """
+    wide = "decimal(38,0)"
+    linked = _linked(edges)
+    ends = linked.select(F.col("p").alias("id"), "bits").unionByName(linked.select(F.col("q").alias("id"), _turned(F.col("bits")).alias("bits")))
+    kinds = ends.groupBy("id").agg(*[F.count_if(F.col("bits") == k).cast(wide).alias(f"k{k}") for k in (1, 2, 3)])
+    n = {k: F.col(f"k{k}") for k in (1, 2, 3)}
+    middles = [(F.lit(triad_class(x + 4 * y)), n[x] * n[y] if x < y else F.call_function("div", n[x] * (n[x] - 1), F.lit(2).cast(wide)).cast(wide)) for x in n for y in n if x <= y]
+    open_ = kinds.select(F.inline(F.array(*[F.struct(m.alias("motif"), F.coalesce(c, F.lit(0)).cast(wide).alias("n")) for m, c in middles])))
+    shapes = triangles(edges, linked).groupBy("uv", "uw", "vw").agg(F.count("*").cast(wide).alias("n"))  # 27 rows at most
+    classes = F.array(*[F.lit(triad_class(i)) for i in range(64)])
+    seen = lambda x, y: F.get(classes, x + 4 * y)
+    uv, uw, vw = F.col("uv"), F.col("uw"), F.col("vw")
+    parts = [(F.get(classes, uv + 4 * uw + 16 * vw), F.col("n"))] + [(seen(x, y), -F.col("n")) for x, y in ((uv, uw), (_turned(uv), vw), (_turned(uw), _turned(vw)))]
+    closed = shapes.select(F.inline(F.array(*[F.struct(m.alias("motif"), c.cast(wide).alias("n")) for m, c in parts])))
+    counted = open_.unionByName(closed).groupBy("motif").agg(F.sum("n").cast("long").alias("n")).filter("n > 0")
     total = counted.agg(F.sum("n").alias("total"))
     return counted.join(F.broadcast(total)).select("motif", "n", (F.col("n") / F.col("total")).alias("share"))  # at most 13 rows
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import hearst
 from graphloom.functions import text as T
 from graphloom.graph import Graph
-from graphloom.operators import concepts, metrics, pairs, sampling, vectors
+from graphloom.operators import association, concepts, metrics, pairs, sampling, structure, vectors
 from graphloom.plans import fixtures as X
-from graphloom.plans.queries import _COSINE, _six, _vectors, query
+from graphloom.plans.queries import _CENSUS, _cells, _COSINE, _six, _vectors, query
 from graphloom.runtime import materialise
 
 # concepts ------------------------------------------------------------------------
@@ -142,6 +142,31 @@ def top_products(spark, d):
     return vectors.top_products(v, v, 5000).select("a", "b", F.round("score", 5).alias("score"))
 
 
+@query()
+def svd_scores_dealt(spark, d):
+    """Scores by factors that are tables, as beyond the driver's bound; tests/test_factors.py holds them against numpy."""
+    cells = _cells(spark, d)
+    return association.svd_scores(association.ppmi(cells), cells.select("row", "col"), 5, most_nodes=0).select("row", "col", _six("score"))
+
+
+# motifs --------------------------------------------------------------------------
+
+
+@query(f"WITH {X.TRADE_EDGES}, {_CENSUS.format(e='trade_edges')} SELECT motif::INT AS motif, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM motifs GROUP BY motif")
+def motif_census_all(spark, d):
+    """Connected triples of all trade edges."""
+    return structure.motif_census(X.trade_edges(spark, d)).select("motif", "n", _six("share"))
+
+
+@query(
+    f"""WITH {X.SUPPLY_EDGES}, s AS (SELECT count(*) AS k FROM supply_edges GROUP BY src), p AS (SELECT count(*) AS k FROM supply_edges GROUP BY dst)
+    SELECT * FROM (SELECT {structure.triad_class(0b000101)} AS motif, sum(k * (k - 1) // 2)::BIGINT AS n FROM s UNION ALL SELECT {structure.triad_class(0b001010)}, sum(k * (k - 1) // 2)::BIGINT FROM p) WHERE n > 0"""
+)
+def supply_census(spark, d):
+    """Triples of the supply graph, whose suppliers are hubs: none is listed, as there are no triangles."""
+    return structure.motif_census(X.supply_edges(spark, d)).select("motif", "n")
+
+
 # patterns ------------------------------------------------------------------------
 
 _THINGS = ("tools", "rings", "bolts", "gears", "wires", "pumps", "belts")

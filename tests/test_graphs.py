@@ -73,6 +73,29 @@ def test_betweenness_and_spectrum(spark):
     assert np.allclose(values, [0, 1, 2])
 
 
+@pytest.mark.parametrize(("n", "m"), [(9, 12), (14, 40), (14, 150)])
+def test_census_against_all_triples(spark, n, m):
+    rng = np.random.default_rng(n + m)
+    held = {(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))}
+    want = {}
+    for t in itertools.combinations(range(n), 3):
+        bits = sum(1 << k for k, (x, y) in enumerate(((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1))) if (t[x], t[y]) in held)
+        if sum(bits >> k & 3 > 0 for k in (0, 2, 4)) >= 2:
+            want[structure.triad_class(bits)] = want.get(structure.triad_class(bits), 0) + 1
+    frame = edges(spark, *[(f"v{a:02d}", f"v{b:02d}", 1) for a, b in [*held, *held]])
+    got = structure.motif_census(frame).collect()
+    assert {r["motif"]: r["n"] for r in got} == want and np.isclose(sum(r["share"] for r in got), 1)
+    assert {r["motif"]: r["n"] for r in structure.motif_triples(frame).groupBy("motif").agg(F.count("*").alias("n")).collect()} == want
+
+
+def test_census_of_a_hub(spark):
+    """Two hundred thousand leaves have 2e10 pairs, of which none is listed; one pair of leaves closes a triangle."""
+    leaves = spark.range(200_000).select(F.lit("hub").alias("src"), F.concat(F.lit("v"), "id").alias("dst"), F.lit(1.0).alias("weight"))
+    got = {r["motif"]: r["n"] for r in structure.motif_census(leaves.unionByName(edges(spark, ("v0", "v1", 1)))).collect()}
+    assert got == {structure.triad_class(0b000101): 200_000 * 199_999 // 2 - 1, structure.triad_class(0b010101): 1}
+    assert structure.motif_census(leaves.limit(0)).collect() == []
+
+
 def test_motif_distance_to_itself(spark):
     census = structure.motif_census(edges(spark, ("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 1)))
     assert structure.motif_distance(census, census).first()["distance"] == 0
