@@ -70,28 +70,40 @@ def edges_at(graph: Graph, distances: DataFrame, depth: int) -> DataFrame:
     return graph.edges.join(distances.select(F.col("id").alias("src"), "depth"), "src").filter(F.col("depth") == depth).select("src", "dst")
 
 
-def simple_paths(edges: DataFrame, root: str, most_edges: int) -> DataFrame:
+def _reversed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def simple_paths(edges: DataFrame, root: str, most_edges: int, targets: DataFrame | None = None) -> DataFrame:
     """path (array of ids from the root), end: every path without repeated vertices of at most so many edges.
 
     Paths are found once for all vertices. The length bound is needed: their number
-    grows exponentially with it on graphs with many crossings.
+    grows exponentially with it on graphs with many crossings. With ``targets`` (id), only paths that end
+    there come out, and a path goes on only as long as its end is near enough to one of them.
     """
     pairs = edges.select("src", "dst").distinct()
     level = pairs.sparkSession.range(1).select(F.array(F.lit(root)).alias("path"), F.lit(root).alias("end"))
+    if targets is not None:
+        left = bfs(_reversed(pairs), targets, most_edges).select(F.col("id").alias("dst"), F.col("depth").alias("left"))
+        pairs = pairs.join(left, "dst")
+        ends = targets.select(F.col("id").cast("string").alias("end")).distinct()
     out = level
-    for _ in range(most_edges):
-        step = level.join(pairs, F.col("end") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"))
-        level = materialise(step, "paths")
+    for n in range(1, most_edges + 1):
+        step = level.join(pairs, F.col("end") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+        if targets is not None:
+            step = step.filter(F.col("left") <= most_edges - n)
+        level = materialise(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end")), "paths")
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    return out
+    return out if targets is None else out.join(ends, "end", "left_semi").select("path", "end")
 
 
 def page_paths(edges: DataFrame, root: str, page_category: DataFrame, cutoff: int) -> DataFrame:
     """page_id, paths (sorted, distinct): the simple paths from the root to the page's vertices; the hop to the page counts as one edge."""
-    paths = simple_paths(edges, root, cutoff - 1)
-    found = page_category.select("page_id", F.col("node_id").alias("end")).distinct().join(paths, "end")
+    ends = page_category.select("page_id", F.col("node_id").alias("end")).distinct()
+    paths = simple_paths(edges, root, cutoff - 1, ends.select(F.col("end").alias("id")).distinct())
+    found = ends.join(paths, "end")
     return found.groupBy("page_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
@@ -110,9 +122,36 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def k_shortest_paths(edges: DataFrame, source: str, target: str, k: int, most_edges: int) -> DataFrame:
-    """path: the ``k`` shortest simple paths of at most so many edges, then in order."""
-    paths = simple_paths(edges, source, most_edges).filter(F.col("end") == target)
-    return paths.orderBy(F.size("path"), "path").limit(k).select("path")
+    """path: the ``k`` shortest simple paths of at most so many edges, then in order.
+
+    Lengths come in turn, beginning with the distance. For each, a path goes on only where the target is near enough
+    to be reached in what is left of it, so on the way to the shortest paths nothing else is
+    looked at; it ends with the length at which there are ``k``.
+    """
+    spark = edges.sparkSession
+    none = spark.range(0).select(F.array(F.lit(source)).alias("path"))
+    if source == target:
+        return spark.range(1).select(F.array(F.lit(source)).alias("path")).limit(k)
+    pairs = edges.select("src", "dst").filter("src <> dst").distinct()
+    left = bfs(_reversed(pairs), spark.range(1).select(F.lit(target).alias("id")), most_edges)
+    first = left.filter(F.col("id") == source).first()
+    if first is None or k <= 0:
+        return none
+    pairs = materialise(pairs.join(left.select(F.col("id").alias("dst"), F.col("depth").alias("left")), "dst").filter(F.col("src") != target), "ways")
+    out, have = none, 0
+    for length in range(first["depth"], most_edges + 1):
+        level = spark.range(1).select(F.array(F.lit(source)).alias("path"), F.lit(source).alias("end"))
+        for n in range(1, length + 1):
+            near = F.col("left") <= length - n if n < length else F.col("dst") == target
+            # an end before the last step must be another vertex, and the last one the target
+            step = level.join(pairs.filter(near), F.col("end") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+            if n < length:
+                step = step.filter(F.col("dst") != target)
+            level = materialise(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end")), "paths")
+        out, have = out.unionByName(level.select("path")), have + level.count()
+        if have >= k:
+            break
+    return out.orderBy(F.size("path"), "path").limit(k)
 
 
 def split(graph: Graph, split_depth: int, share: float, seed: int = 0) -> tuple[Graph, Graph]:

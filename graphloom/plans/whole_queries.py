@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import hearst
 from graphloom.functions import text as T
 from graphloom.graph import Graph
-from graphloom.operators import association, concepts, metrics, pairs, sampling, structure, vectors
+from graphloom.operators import association, concepts, metrics, pairs, sampling, structure, traverse, vectors
 from graphloom.plans import fixtures as X
 from graphloom.plans.queries import _CENSUS, _cells, _COSINE, _six, _vectors, query
 from graphloom.runtime import materialise
@@ -158,6 +158,15 @@ def motif_census_all(spark, d):
     return structure.motif_census(X.trade_edges(spark, d)).select("motif", "n", _six("share"))
 
 
+@query(
+    f"""WITH RECURSIVE {X.TRADE_EDGES}, q(path) AS (SELECT ['NATION_0'] UNION ALL SELECT list_append(path, dst) FROM q JOIN trade_edges ON path[-1] = src WHERE NOT list_contains(path, dst) AND len(path) <= 3 AND path[-1] <> 'NATION_7')
+    SELECT array_to_string(path, '>') AS path FROM (SELECT path FROM q WHERE path[-1] = 'NATION_7' ORDER BY len(path), path LIMIT 100)"""
+)
+def k_shortest_paths_all(spark, d):
+    """The hundred shortest ways between two nations over all trade edges."""
+    return traverse.k_shortest_paths(X.trade_edges(spark, d), "NATION_0", "NATION_7", 100, 24).select(F.array_join("path", ">").alias("path"))
+
+
 @query(
     f"""WITH {X.SUPPLY_EDGES}, s AS (SELECT count(*) AS k FROM supply_edges GROUP BY src), p AS (SELECT count(*) AS k FROM supply_edges GROUP BY dst)
     SELECT * FROM (SELECT {structure.triad_class(0b000101)} AS motif, sum(k * (k - 1) // 2)::BIGINT AS n FROM s UNION ALL SELECT {structure.triad_class(0b001010)}, sum(k * (k - 1) // 2)::BIGINT FROM p) WHERE n > 0"""

@@ -96,6 +96,34 @@ def test_census_of_a_hub(spark):
     assert structure.motif_census(leaves.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_paths_against_all_orders(spark, seed):
+    """Cyclic graphs with loops; the shortest simple paths, and those to some targets."""
+    rng = np.random.default_rng(seed)
+    n = 7
+    held = {(int(a), int(b)) for a, b in rng.integers(0, n, (14 + 6 * seed, 2))}
+    frame = edges(spark, *[(str(a), str(b), 1) for a, b in held])
+    every = [p for size in range(1, n + 1) for p in itertools.permutations(range(n), size) if p[0] == 0 and all((a, b) in held for a, b in itertools.pairwise(p))]
+    for target, k, most in ((n - 1, 1, 6), (n - 1, 6, 6), (n - 1, 1000, 5), (3, 4, 2), (0, 3, 3)):
+        want = sorted((p for p in every if p[-1] == target and len(p) <= most + 1), key=lambda p: (len(p), [str(x) for x in p]))[:k]
+        got = [tuple(map(int, r["path"])) for r in traverse.k_shortest_paths(frame, "0", str(target), k, most).collect()]
+        assert sorted(got, key=lambda p: (len(p), p)) == want
+    targets = spark.createDataFrame([("2",), ("5",), ("absent",)], "id string")
+    got = sorted(tuple(map(int, r["path"])) for r in traverse.simple_paths(frame, "0", 4, targets).collect())
+    assert got == sorted(p for p in every if p[-1] in (2, 5) and len(p) <= 5)
+
+
+def test_the_graph_score_goes_along_edges(spark):
+    """Along edges and both ways differ here, and the evaluation takes the former."""
+    one = edges(spark, ("a", "b", 1), ("b", "c", 1), ("a", "d", 1))
+    two = edges(spark, ("b", "a", 1), ("c", "b", 1), ("d", "c", 1))
+    embeds = spark.createDataFrame([(t, [float(t == x) for x in "abcd"]) for t in "abcd"], "title string, embed array<double>")
+    p, t = Graph.of(one), Graph.of(two)
+    got = sweep.METRICS["graph"](p, t, embeds).first()["f1"]
+    along, around = (similarity.graph_match(sweep._embedded(p, embeds), sweep._embedded(t, embeds), 2, way).first()["f1"] for way in ("forward", "undirected"))
+    assert np.isclose(got, along) and not np.isclose(along, around)
+
+
 def test_motif_distance_to_itself(spark):
     census = structure.motif_census(edges(spark, ("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 1)))
     assert structure.motif_distance(census, census).first()["distance"] == 0
