@@ -128,3 +128,21 @@ def test_toxicity_query_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     rows = toxicity.op2_toxicity(spark, SMALL).join(labels, "doc_id").filter("held_out").collect()
     assert rows and np.mean([r["predicted"] == r["toxic"] for r in rows]) >= 0.9
+
+
+def _auc(rows):
+    """The share of (one, zero) pairs that the score has in order; a constant has a half."""
+    ones, zeros = ([s for s, y in rows if y == k] for k in (1, 0))
+    assert len(ones) > 4 and len(zeros) > 4
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+def test_held_out_documents_are_ranked(spark):
+    """On held-out labels of a table with enough of both kinds, which a constant score would rank at 0.5."""
+    from graphloom.llm import quality, toxicity
+
+    larger = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    for query, label, least in ((toxicity.op2_toxicity, "toxic", 0.75), (quality.op7_quality, "quality", 0.8)):
+        rows = [(r["score"], labels[r["doc_id"]][label]) for r in query(spark, larger).filter("held_out").select("doc_id", "score").collect() if r["doc_id"] in labels]
+        assert _auc([x for x in rows if x[1] is not None]) >= least, label
