@@ -146,8 +146,8 @@ def shares(rows: DataFrame, group: str, value: str) -> DataFrame:
 def growth(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """at, n: how many distinct keys the rows up to each place hold; places are those at which a new key comes."""
     first = numbered(rows, *order).groupBy(key).agg(F.min("at").alias("at"))
-    new = first.groupBy("at").agg(F.count("*").alias("c"))
-    return numbered(new, "at", name="_n").select("at", (F.sum("c").over(Window.orderBy("at"))).alias("n"))
+    new = first.groupBy("at").agg(F.count("*").alias("n"))
+    return running(new, F.col("at"), "n")
 
 
 def members(rows: DataFrame, key: str, payload: list[str], item: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.runtime import materialise
+from graphloom.runtime import materialise, table_path
 
 
 def hash_order(*columns: str | Column, seed: int = 0) -> Column:
@@ -23,17 +23,22 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, parents
     pairs = edges.select("src", "dst").filter("src <> dst").distinct()
     columns = ["id", "depth", "parent"] if parents else ["id", "depth"]
     none = F.lit(None).cast("string").alias("parent")
-    seen = materialise(seeds.select(F.col("id").cast("string").alias("id"), F.lit(0).alias("depth"), none).distinct().select(*columns), "bfs")
+    spark, path = edges.sparkSession, table_path(edges.sparkSession, "bfs")
+    start = seeds.select(F.col("id").cast("string").alias("id"), F.lit(0).alias("depth"), none).distinct().select(*columns)
+    start.write.parquet(path)
+    reached = lambda: spark.read.schema(start.schema).parquet(path)  # noqa: E731  what is there by now
+    pairs = materialise(pairs, "ways")
     hop = 0
     while max_hops is None or hop < max_hops:
+        # each hop is added to those before it, which are not written again
+        seen = reached()
         front = seen.filter(F.col("depth") == hop).select(F.col("id").alias("src"))
         fresh = front.join(pairs, "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        fresh = materialise(fresh.withColumn("depth", F.lit(hop + 1)).select(*columns), "hop")
-        if fresh.isEmpty():
-            break
-        seen = materialise(seen.unionByName(fresh), "bfs")
+        fresh.withColumn("depth", F.lit(hop + 1)).select(*columns).write.mode("append").parquet(path)
         hop += 1
-    return seen
+        if reached().filter(F.col("depth") == hop).isEmpty():
+            break
+    return reached()
 
 
 def root_of(graph: Graph) -> DataFrame:

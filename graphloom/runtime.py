@@ -23,13 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def table_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/graphloom-tables/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialise(frame: DataFrame, name: str = "table") -> DataFrame:
     """``frame`` written to the shared folder and read again: short lineage, no recomputation."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/graphloom-tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     frame.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(frame.schema).parquet(path)
 
 
