@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators import centrality
 from graphloom.operators.traverse import bfs
 from graphloom.runtime import bounded, materialise
 
@@ -213,9 +214,12 @@ def motif_depths(edges: DataFrame, distances: DataFrame) -> DataFrame:
 def betweenness(graph: Graph, most_edges: int = 2_000_000) -> DataFrame:
     """id, score, undirected and normalised: Brandes' sums, sources in parallel.
 
-    The adjacency goes to every task, so it is bounded; larger graphs raise an error.
+    The adjacency goes to every task up to ``most_edges`` links; beyond, counts and sums stay tables.
     """
-    rows = bounded(graph.undirected().edges.select("src", "dst").filter("src <> dst"), most_edges, "betweenness")
+    links = graph.undirected().edges.select("src", "dst").filter("src <> dst")
+    rows = links.limit(most_edges + 1).collect()
+    if len(rows) > most_edges:
+        return centrality.betweenness(graph).select("id", "title", "score").orderBy(F.desc("score"), "id")
     around: dict[str, list[str]] = {}
     for r in rows:
         around.setdefault(r["src"], []).append(r["dst"])

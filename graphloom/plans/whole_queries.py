@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import hearst
 from graphloom.functions import text as T
 from graphloom.graph import Graph
-from graphloom.operators import association, concepts, metrics, pairs, sampling, structure, traverse, vectors
+from graphloom.operators import association, centrality, concepts, metrics, pairs, sampling, structure, traverse, vectors
 from graphloom.plans import fixtures as X
 from graphloom.plans.queries import _CENSUS, _cells, _COSINE, _six, _vectors, query
 from graphloom.runtime import materialise
@@ -176,6 +176,40 @@ def supply_census(spark, d):
     return structure.motif_census(X.supply_edges(spark, d)).select("motif", "n")
 
 
+# centrality ----------------------------------------------------------------------
+
+
+def _levels(depth: int) -> str:
+    """Common table expressions for the shares of shortest paths of up to ``depth`` links from ``sources`` (id) over ``links`` (x, y), level by level."""
+    parts = ["f0 AS (SELECT id AS s, id, 1.0::DOUBLE AS ways FROM sources)"]
+    for k in range(1, depth + 1):
+        seen = "".join(f" AND (s, y) NOT IN (SELECT (s, id) FROM f{j})" for j in range(max(k - 2, 0), k))
+        parts.append(f"f{k} AS MATERIALIZED (SELECT s, y AS id, sum(ways)::DOUBLE AS ways FROM f{k - 1} JOIN links ON x = id WHERE true{seen} GROUP BY s, y)")
+    parts.append(f"b{depth} AS (SELECT s, id, ways, 0.0::DOUBLE AS owed FROM f{depth})")
+    for k in range(depth - 1, 0, -1):
+        back = f"SELECT s, y AS id, sum((1 + owed) / ways) AS x FROM b{k + 1} JOIN links ON x = id GROUP BY s, y"
+        parts.append(f"b{k} AS MATERIALIZED (SELECT f.s, f.id, f.ways, coalesce(t.x, 0) * f.ways AS owed FROM f{k} f LEFT JOIN ({back}) t ON t.s = f.s AND t.id = f.id)")
+    return ", ".join(parts)
+
+
+_MOST_LINKS = 10
+
+
+@query(
+    f"""WITH {X.TAXONOMY}, {X.SUPPLY_EDGES}, e AS (SELECT src AS x, dst AS y FROM tax_e UNION SELECT src, dst FROM supply_edges), links AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+    sources AS (SELECT id FROM tax_v WHERE id NOT LIKE 's:%'), {_levels(_MOST_LINKS)}
+    SELECT id, round(sum(owed), 6)::DOUBLE AS owed FROM ({" UNION ALL ".join(f"SELECT id, owed FROM b{k}" for k in range(1, _MOST_LINKS + 1))}) GROUP BY id"""
+)
+def path_shares(spark, d):
+    """Shares of the shortest paths from the root, regions and nations through each vertex down to all parts, on five levels.
+
+    Nations meet over the root after four links and parts lie two below any of them, so no path has more than ten.
+    """
+    tree = X.taxonomy(spark, d)
+    edges = tree.edges.select("src", "dst").unionByName(X.supply_edges(spark, d).select("src", "dst"))
+    return centrality.path_shares(edges, tree.vertices.filter("id NOT LIKE 's:%'")).select("id", _six("owed"))
+
+
 # patterns ------------------------------------------------------------------------
 
 _THINGS = ("tools", "rings", "bolts", "gears", "wires", "pumps", "belts")
