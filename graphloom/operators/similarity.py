@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType
 
 from graphloom.graph import Graph
-from graphloom.operators.assignment import best_assignment
+from graphloom.operators.assignment import BOUND, best_assignment, by_slices
 from graphloom.operators.vectors import best_matches, nearest, pairs_above  # noqa: F401  searches by cosine
 from graphloom.runtime import materialise
 
@@ -113,7 +113,8 @@ def graph_match(a: Graph, b: Graph, rounds: int = 3, direction: str = "forward")
 
     def similarities(frame: pd.DataFrame) -> np.ndarray:
         frame = frame.sort_values("id")
-        return _unit(frame[frame.side == 0]["embed"]) @ _unit(frame[frame.side == 1]["embed"]).T
+        one, two = (_unit(frame[frame.side == k]["embed"]) for k in (0, 1))
+        return by_slices(lambda at: one[at] @ two.T, len(one), len(two))
 
     return best_assignment(x.unionByName(y), similarities, n, m, _scores)
 
@@ -144,8 +145,14 @@ def safe_f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
-def soft_edge_match(pred: Graph, true: Graph, embeds: DataFrame) -> DataFrame:
-    """One row, precision, recall, f1: best one-to-one matching of edges, a pair scoring its less similar ends."""
+def edge_similarities(one: pd.DataFrame, two: pd.DataFrame) -> np.ndarray:
+    """Edges by edges: the less similar of the sources (a) and the destinations (b)."""
+    a, b, c, d = _unit(one["a"]), _unit(one["b"]), _unit(two["a"]).T, _unit(two["b"]).T
+    return by_slices(lambda at: np.minimum(a[at] @ c, b[at] @ d), len(one), len(two))
+
+
+def soft_edge_match(pred: Graph, true: Graph, embeds: DataFrame, most_cost: float = BOUND) -> DataFrame:
+    """One row, precision, recall, f1: best one-to-one matching of edges, a pair scoring its less similar ends. Null beyond the cost bound."""
     p, t = pred.titled_edges().select("src", "dst"), true.titled_edges().select("src", "dst")
     n, m = p.count(), t.count()
     if not n or not m:
@@ -156,7 +163,6 @@ def soft_edge_match(pred: Graph, true: Graph, embeds: DataFrame) -> DataFrame:
 
     def similarities(frame: pd.DataFrame) -> np.ndarray:
         frame = frame.sort_values(["src", "dst"])
-        one, two = frame[frame.side == 0], frame[frame.side == 1]
-        return np.minimum(_unit(one["a"]) @ _unit(two["a"]).T, _unit(one["b"]) @ _unit(two["b"]).T)
+        return edge_similarities(frame[frame.side == 0], frame[frame.side == 1])
 
-    return best_assignment(both, similarities, n, m, _scores)
+    return best_assignment(both, similarities, n, m, _scores, most_cost)

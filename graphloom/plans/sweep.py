@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import asdict, replace
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import metrics, prune, similarity, structure
-from graphloom.operators.assignment import MOST_COST, assign
+from graphloom.operators.assignment import BOUND, assign
 from graphloom.runtime import materialise
 
 
@@ -52,7 +53,7 @@ def rooted_by_setting(kept: DataFrame, root: str) -> DataFrame:
     return kept.unionByName(tops.select("setting", "absolute", "relative", F.lit(root).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")))
 
 
-def sweep(pred: Graph, true: Graph, embeds: DataFrame, settings: list[tuple[float, float]], threshold: float = 0.436, base: prune.Settings = prune.Settings(), most_cost: float = MOST_COST) -> DataFrame:
+def sweep(pred: Graph, true: Graph, embeds: DataFrame, settings: list[tuple[float, float]], threshold: float = 0.436, base: prune.Settings = prune.Settings(), most_cost: float = BOUND) -> DataFrame:
     """setting, absolute, relative and the soft and hard edge scores of each point of the grid, null beyond the cost bound.
 
     All points are scored in parallel, one task each; a point's edges and the truth's are
@@ -75,9 +76,8 @@ def sweep(pred: Graph, true: Graph, embeds: DataFrame, settings: list[tuple[floa
         p, q = frame[frame.side == 0], frame[frame.side == 1]
         if not len(p) or not len(q):
             return pd.DataFrame([[key[0], *[0.0] * 6]], columns=["setting", *columns])
-        unit = similarity._unit
-        sims = np.minimum(unit(p["a"]) @ unit(q["a"]).T, unit(p["b"]) @ unit(q["b"]).T)
-        total = float(sims[assign(sims)].sum())
+        sims = similarity.edge_similarities(p, q)
+        total = float(sims[assign(sims)].sum(dtype=float))
         near = sims >= threshold
         out = []
         for x, y in ((total / len(p), total / len(q)), (near.any(axis=1).mean(), near.any(axis=0).mean())):
@@ -102,7 +102,7 @@ METRICS: dict[str, Callable[[Graph, Graph, DataFrame], DataFrame]] = {
     "node": lambda p, t, e: metrics.node_scores(p, t),
     "edge": lambda p, t, e: metrics.edge_scores(p, t),
     "edge_hard": lambda p, t, e: similarity.edge_match(p, t, e, 0.436),
-    "edge_soft": lambda p, t, e: similarity.soft_edge_match(p, t, e),
+    "edge_soft": lambda p, t, e: similarity.soft_edge_match(p, t, e, math.inf),  # its cost is not guarded here
     "graph": lambda p, t, e: similarity.graph_match(_embedded(p, e), _embedded(t, e), 2, "forward"),
     "motif": lambda p, t, e: structure.motif_distance(structure.motif_census(p.edges), structure.motif_census(t.edges)),
 }
