@@ -8,7 +8,9 @@ a name keeps its script, capitals and the gender of its form of address.
 
 A number that only looks like one of these stays as it is: a card without a valid
 check digit, an address with a part above 255, digits that are not grouped as telephone
-numbers are (``plausible``). Names without a form of address are not looked for.
+numbers are (``plausible``). A number without any separator is a telephone number behind a plus
+sign (8 to 15 digits) or one zero (9 to 12 digits); behind a plus sign its country's code cannot be told
+from the rest, but for 1, so it is no spelling of the national number. Names without a form of address are not looked for.
 
 A surrogate is a keyed hash of kind and canonical value, so an entity has the same one
 in all its spellings and in all documents; a telephone number with and without the
@@ -39,15 +41,20 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra"
 NEUTRAL = ("Dr", "Prof", "Mx")
 FORMS = "|".join(form for f in MALE + FEMALE + NEUTRAL for form in (f, f.upper()))
 
+#: Groups of two digits behind a zero or a country's code, all with one separator.
+PAIRS = "|".join(rf"(?:\+[0-9]{{1,3}}[ .-]?(?:\(0\) ?)?|0)[1-9](?:{sign}[0-9]{{2}}){{4}}" for sign in (" ", r"\.", "-"))
+#: Telephone numbers in pairs, without separators behind a plus sign or a zero, and with a stroke behind the area.
+TELEPHONE = rf"(?<![0-9A-Za-z+.,/-])(?:{PAIRS}|\+[0-9]{{8,15}}|0[1-9][0-9]{{1,4}}/[0-9]{{5,8}}|0[1-9][0-9]{{7,10}})(?![0-9A-Za-z]|[.,/-][0-9])"
+
 #: Kinds in order of precedence, with the pattern of each.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp_|sk-)[A-Za-z0-9]{20,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "card": r"(?<![0-9.-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
+    "card": r"(?<![0-9.-])(?:(?:[0-9]{4}[ -]?){3}[0-9]{1,7}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|" + TELEPHONE,
     "name": r"(?<![\p{L}])(?=[" + "".join(sorted({form[0] for form in MALE + FEMALE + NEUTRAL})) + r"])(?:" + FORMS + r")\.? \p{Lu}[\p{L}'-]++(?![0-9])(?: \p{Lu}[\p{L}'-]++(?![0-9])){0,2}",
 }
 #: A cheap test that each text with an entity passes, if it has no "@".

@@ -96,3 +96,33 @@ def test_repeated_and_null_ids_and_clashing_names(spark):
     assert len(out) == 6
     mails = {r["text"] for r in out if r["text"] and "@" in r["text"]}
     assert len(mails) == 1 and "jo@mail.example.com" not in mails
+
+
+PHONES = ["+14995556503", "+1 499 555 6503", "+1 (499) 555-6503", "(499) 555-6503", "499-555-6503", "499.555.6503", "01 23 45 67 89", "01.23.45.67.89", "01-23-45-67-89", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+4915112345678", "0301234567", "030/1234567", "020 7946 0018", "+44 20 7946 0018"]
+CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "378282246310005", "3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]
+OTHERS = ["jo.s+x@mail.example.co.uk", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "192.168.10.20", "078-05-1120", "sk-" + "a1B2" * 6, "Mr. John Smith", "Frau Schmidt", "Κυρία Παπαδοπούλου"]
+FRAMES = ["{}", "call {} now", "({})", "at {}, or later", "it is {}.", "one: {}; two", "\u201c{}\u201d", "line\n{}\nline"]
+
+
+def test_recall_of_all_formats(spark, docs):
+    kinds = dict.fromkeys(PHONES, "phone") | dict.fromkeys(CARDS, "card") | dict.fromkeys(OTHERS)
+    rows = [(f.format(e), e, kind) for e, kind in kinds.items() for f in FRAMES]
+    out = run(spark, docs, *((i, text) for i, (text, _, _) in enumerate(rows)))
+    missed = [(text, out[i]["text"], out[i]["kinds"]) for i, (text, e, kind) in enumerate(rows) if e in out[i]["text"] or out[i]["n_entities"] != 1 or kind not in (None, *out[i]["kinds"])]
+    assert not missed
+    for i, (text, e, kind) in enumerate(rows):
+        if kind:  # digits for digits, and all else in its place
+            assert re.sub("[0-9]", "0", out[i]["text"]) == re.sub("[0-9]", "0", text)
+
+
+def test_one_number_in_pairs_and_with_a_stroke(spark, docs):
+    out = run(spark, docs, (1, "+33 1 23 45 67 89, 01 23 45 67 89, 01.23.45.67.89"), (2, "030/1234567, 0301234567"))
+    for r, n in ((out[1], 9), (out[2], 9)):
+        assert len({re.sub(r"[^0-9]", "", x)[-n:] for x in r["text"].split(", ")}) == 1
+    assert out[1]["text"].startswith("+33 ")
+
+
+def test_other_numbers_stay(spark, docs):
+    texts = ["0.0301234567 of it", "3,0123456789", "part 0x0301234567", "id A0301234567", "000123456789", "1234567890", "x+14995556503", "2021-01-02-03", "01 02 03", "01/02/2024", "1 23 45 67 89", "3782 822463 10006", "030/1234567/12", "0301234567.5", "+1234567", "99 12 34 56 78"]
+    out = run(spark, docs, *enumerate(texts))
+    assert [out[i]["text"] for i in range(len(texts))] == texts
