@@ -5,12 +5,15 @@ Texts are lower-cased, every run of non-letters becomes one space, and the
 Training counts all learnable texts, whole, in one pass: each task adds up its
 own languages-by-columns counts, Spark sums them, and the smoothed log
 probabilities (languages x columns, so bounded whatever the corpus) are
-broadcast. Scoring gathers and sums them in numpy, a batch of texts at a time.
+broadcast. Scoring is a product of a sparse matrix, texts x columns, with that
+matrix, in numpy, many texts at a time.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 so is every text when there was nothing to learn from; texts and rows with a
 null language teach nothing; equal scores go to the language that sorts first;
 a text of any length is worked through in slices, n-grams across slices included.
+An empty table gives an empty result; rows that repeat an id, a null one too, are each
+scored; a kept column that is named as a result comes out as ``kept_`` and its name.
 """
 
 from __future__ import annotations
@@ -97,35 +100,62 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", smoothing:
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if languages else counts.astype(np.float32)
 
 
+def sums(texts: list[str | None], by_column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log probabilities, texts x languages, and which texts have letters.
+
+    The sparse matrix has an entry for each n-gram, in the order of texts; some ``SLICE`` entries are multiplied at a time.
+    """
+    total, lettered = np.zeros((len(texts), by_column.shape[1])), np.zeros(len(texts), bool)
+    entries: list[np.ndarray] = []
+    rows: list[int] = []
+    size = 0
+
+    def multiply() -> None:
+        starts = np.cumsum([0, *(e.size for e in entries[:-1])])
+        np.add.at(total, rows, np.add.reduceat(by_column[np.concatenate(entries)], starts, axis=0, dtype=np.float64))
+
+    for i, text in enumerate(texts):
+        symbols = letters(text or "")
+        lettered[i] = symbols.size > 0
+        for at in columns_of(symbols):
+            entries.append(at)
+            rows.append(i)
+            size += at.size
+            if size >= SLICE:
+                multiply()
+                entries, rows, size = [], [], 0
+    if entries:
+        multiply()
+    return total, lettered
+
+
 def classify(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep``, lang_pred and score (the posterior of the predicted language, languages equally likely before)."""
     spark = documents.sparkSession
     small_batches(spark)
     languages, table = model
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(table.T))
-    source = text if text in keep else "_text"
-    frame = documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("_text"))
+    names = [f"kept_{c}" if c in ("lang_pred", "score") else c for c in keep]
+    source = "_text"
+    while source in names:
+        source += "_"
+    frame = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias(source))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_column = shared.value
         for batch in batches:
-            predicted, scores = [], []
-            for one in batch.column(source).to_pylist():
-                symbols = letters(one or "")
-                if not symbols.size or not languages:
-                    predicted.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
-                for at in columns_of(symbols):
-                    total += by_column[at].sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                predicted.append(languages[best])
-                scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            held = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    kinds = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
+            texts = batch.column(source).to_pylist()
+            predicted, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if languages and texts:
+                total, lettered = sums(texts, by_column)
+                best = total.argmax(axis=1)
+                top = total[np.arange(len(texts)), best]
+                scores = np.where(lettered, 1 / np.exp(np.maximum(total - top[:, None], -700)).sum(axis=1), 0.0)
+                predicted = [languages[b] if known else UNKNOWN for b, known in zip(best, lettered, strict=True)]
+            held = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+
+    kinds = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in names)
     return frame.mapInArrow(task, f"{kinds}, lang_pred string, score double")
 
 

@@ -146,3 +146,31 @@ def test_held_out_documents_are_ranked(spark):
     for query, label, least in ((toxicity.op2_toxicity, "toxic", 0.75), (quality.op7_quality, "quality", 0.8)):
         rows = [(r["score"], labels[r["doc_id"]][label]) for r in query(spark, larger).filter("held_out").select("doc_id", "score").collect() if r["doc_id"] in labels]
         assert _auc([x for x in rows if x[1] is not None]) >= least, label
+
+
+def test_language_sums_of_many_texts_at_once():
+    """Equal to a text by itself, n-gram by n-gram, in batches of any size."""
+    table = np.random.default_rng(4).normal(size=(langid.COLUMNS, 3)).astype(np.float32)
+    texts = ["the dog", None, "", "le chien et le chat " * 9, "12", "x", "déjà vu" * 30]
+    want = np.zeros((len(texts), 3))
+    for i, text in enumerate(texts):
+        for at in langid.columns_of(langid.letters(text or "")):
+            want[i] += table[at].sum(axis=0, dtype=np.float64)
+    size = langid.SLICE
+    try:
+        for langid.SLICE in (size, 11):
+            total, lettered = langid.sums(texts, table)
+            assert np.allclose(total, want) and lettered.tolist() == [True, False, False, True, False, True, True]
+    finally:
+        langid.SLICE = size
+
+
+def test_language_keeps_columns_of_clashing_names(spark, docs):
+    model = langid.fit(docs((1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr")))
+    rows = [(None, "the dog", 7, "q", "own"), (3, "le chien", 8, "r", "own"), (3, "le chien", 8, "r", "own")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score int, lang_pred string, _text string")
+    found = langid.classify(frame, model, ("doc_id", "text", "score", "lang_pred", "_text"))
+    assert found.columns == ["doc_id", "text", "kept_score", "kept_lang_pred", "_text", "lang_pred", "score"]
+    got = sorted((r["doc_id"] or 0, r["text"], r["kept_score"], r["kept_lang_pred"], r["_text"], r["lang_pred"]) for r in found.collect())
+    assert got == [(0, "the dog", 7, "q", "own", "en")] + [(3, "le chien", 8, "r", "own", "fr")] * 2
+    assert langid.classify(frame.limit(0), model, ("doc_id", "score")).count() == 0
