@@ -1,11 +1,14 @@
 """Drawn pairs and the pair classifier."""
 
+import hashlib
+import inspect
+
 import numpy as np
 import pytest
 from helpers import SMALL
 from pyspark.sql import functions as F
 
-from graphloom.operators import pairs, sampling
+from graphloom.operators import pairs, sampling, tables
 from graphloom.plans import whole_queries as W
 
 
@@ -102,3 +105,18 @@ def test_odd_titles(spark):
     frame = spark.createDataFrame([(None, "a"), ("", ""), ("x " * 5000, "y"), ("Ünï-cödé 9", "ünï")], "src string, dst string")
     got = [r[0] for r in frame.select(pairs.features(F.col("src"), F.col("dst"), 64)).collect()]
     assert all(x and all(0 <= i < 64 for i in x) and len(x) == len(set(x)) for x in got)
+
+
+@pytest.mark.parametrize("n", [0, 5, 300, 10**6])
+def test_negative_pairs_list_only_what_may_be_first(spark, monkeypatch, n):
+    """All pairs are hashed, few are kept, and where edges took most of those, more; no number of titles is too great."""
+    names = [f"t{i}" for i in range(120)]
+    order = sorted((hashlib.md5(f"{a}:{b}:0".encode()).hexdigest(), a, b) for a in names for b in names)
+    edges = [p[1:] for p in order[:2000]]
+    kept, write = [], tables.materialise
+    monkeypatch.setattr(tables, "materialise", lambda f, name: kept.append((name, write(f, name))) or kept[-1][1])
+    got = tables.negative_pairs(spark.createDataFrame([(x,) for x in names * 2], "title string"), spark.createDataFrame(edges, "src string, dst string"), n).collect()
+    assert [tuple(r) for r in got] == [p[1:] for p in order[2000:]][:n]
+    sizes = [f.count() for name, f in kept if name == "below"]
+    assert sizes[0] < 4000 or n > 4000
+    assert "most_nodes" not in inspect.signature(tables.negative_pairs).parameters
