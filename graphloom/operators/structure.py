@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import permutations
 
 import numpy as np
@@ -62,9 +63,52 @@ def component_sizes(components: DataFrame) -> DataFrame:
 def strong_components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """id, component (its smallest id).
 
-    Rounds of colouring: vertices that have no way in or no way out are alone; of the rest, each
-    takes the smallest id that reaches it, and what that id's vertex is reached by within its colour is a component.
+    At first the graph is folded, which long paths and rings take a logarithmic number of rounds for: vertices that have no way in or no way
+    out are alone, and one with a single way in (from u) and a single way out (to w) becomes an edge from u to w; it is with u where u and w are together. Rounds
+    of colouring do the rest: each vertex takes the smallest id that reaches it, and what that id's vertex is reached by within
+    its colour is a component.
     """
+    pairs, folded = materialise(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs"), []
+    size = pairs.count()
+    for turn in range(most_rounds):
+        if not size:
+            break
+        ends = pairs.select(F.col("src").alias("id"), F.col("dst").alias("w"), F.lit(None).alias("u")).unionByName(pairs.select(F.col("dst").alias("id"), F.lit(None).alias("w"), F.col("src").alias("u")))
+        ends = ends.groupBy("id").agg(F.count("u").alias("ins"), F.count("w").alias("outs"), F.min("u").alias("u"), F.min("w").alias("w"))
+        ends = materialise(ends.filter("ins = 0 or outs = 0 or (ins = 1 and outs = 1)").withColumn("rank", F.struct(F.xxhash64("id", F.lit(turn)), "id")), "ends")
+        inner = ends.filter("ins = 1 and outs = 1")
+        # of neighbours on a path the one of the greatest rank goes
+        beside = lambda c: inner.select(F.col("id").alias(c), F.col("rank").alias(f"{c}_rank"))
+        gone = inner.join(beside("u"), "u", "left").join(beside("w"), "w", "left").filter("(u_rank is null or rank > u_rank) and (w_rank is null or rank > w_rank)").select("id", "u", "w")
+        gone = materialise(gone.unionByName(ends.filter("ins = 0 or outs = 0").select("id", F.lit(None).alias("u"), F.lit(None).alias("w"))), "gone")
+        stay = pairs.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+        single = gone.filter("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))
+        for c in ("src", "dst"):  # no edges to what is alone
+            single = single.join(gone.filter("u is null").select(F.col("id").alias(c)), c, "left_anti")
+        pairs, before = materialise(stay.unionByName(single.select("src", "dst")).distinct(), "pairs"), size
+        size = pairs.count()
+        folded.append(gone)
+        if size > 0.95 * before:
+            break
+    kernel = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    held = reduce(DataFrame.unionByName, [g.select("id") for g in folded]) if folded else kernel.limit(0)
+    rest = vertices.select("id").distinct().join(held, "id", "left_anti")
+    done = rest.join(kernel, "id", "left_anti").select("id", F.col("id").alias("component"))
+    if size:
+        done = done.unionByName(_coloured(kernel, pairs, most_rounds))
+    done = materialise(done, "strong")
+    for gone in reversed(folded):
+        at = lambda c, done=done: done.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
+        found = gone.join(at("u"), "u", "left").join(at("w"), "w", "left")
+        # what is alone at this turn is not among those done; nothing is with it
+        found = found.select("id", F.when(F.col("u_in") == F.col("w_in"), F.col("u_in")).otherwise(F.col("id")).alias("component"))
+        done = materialise(done.unionByName(found), "strong")
+    least = done.groupBy("component").agg(F.min("id").alias("least"))
+    return done.join(least, "component").select("id", F.col("least").alias("component"))
+
+
+def _coloured(vertices: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
+    """id, component by rounds of colouring."""
     left, pairs = vertices.select("id").distinct(), edges.filter("src <> dst").select("src", "dst").distinct()
     done = None
     for _ in range(most_rounds):

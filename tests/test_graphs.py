@@ -230,3 +230,30 @@ def test_crawl_and_retry():
     for _ in range(3):
         limit()
     assert waited[1:] == [1.0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_against_reachability(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 24
+    held = {(int(a), int(b)) for a, b in rng.integers(0, n - 2, (16 + 6 * seed, 2))} | ({(i, i + 1) for i in range(5)} | {(5, 0)} if seed else {(0, 1), (1, 0)})
+    reach = np.eye(n, dtype=bool)
+    for a, b in held:
+        reach[a, b] = True
+    for _ in range(5):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    want = {f"{i:02d}": f"{min(j for j in range(n) if reach[i, j] and reach[j, i]):02d}" for i in range(n)}
+    vertices = spark.createDataFrame([(f"{i:02d}",) for i in range(n)], "id string")
+    got = structure.strong_components(vertices, edges(spark, *[(f"{a:02d}", f"{b:02d}", 1) for a, b in held])).collect()
+    assert {r["id"]: r["component"] for r in got} == want and len(got) == n
+
+
+def test_long_rings_and_paths_fold(spark, monkeypatch):
+    """A ring and a path of 300 take few tables, not one for each vertex."""
+    written, write = [], structure.materialise
+    monkeypatch.setattr(structure, "materialise", lambda f, name="table": written.append(name) or write(f, name))
+    ids = spark.range(600).select(F.format_string("%03d", "id").alias("id"))
+    ring = spark.range(599).select(F.format_string("%03d", "id").alias("src"), F.format_string("%03d", F.when(F.col("id") == 299, 0).otherwise(F.col("id") + 1)).alias("dst"))
+    sizes = structure.strong_components(ids, ring).groupBy("component").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    assert {(r["count"], r["n"]) for r in sizes} == {(300, 1), (1, 300)}
+    assert len(written) < 100
