@@ -30,6 +30,19 @@ def test_ward_clusters_in_spark(spark):
         analysis.ward_clusters(rows, 3, most=14)
 
 
+@pytest.mark.parametrize(("n", "alone"), [(90, 32)])
+def test_ward_in_rounds_comes_to_the_same(spark, n, alone):
+    """Beyond what one task joins there is no bound, and the clusters are those of one task."""
+    rng = np.random.default_rng(n)
+    points = rng.normal(size=(9, 5))[rng.integers(0, 9, n)] + 0.3 * rng.normal(size=(n, 5))
+    rows = spark.createDataFrame([(7 * i % 1009, points[i].tolist()) for i in range(n)], "id long, embed array<double>")
+    order = sorted(range(n), key=lambda i: 7 * i % 1009)
+    tree = analysis.ward(points[order])
+    for k in (4,):
+        want = {7 * i % 1009: c for i, c in zip(order, analysis.cut(tree, n, k), strict=True)}
+        assert {r["id"]: r["cluster"] for r in analysis.ward_clusters(rows, k, alone=alone).collect()} == want
+
+
 def test_concepts_by_lookup_and_by_join_agree(spark):
     docs = spark.createDataFrame([(1, "the end of the sea of the end".split()), (2, []), (3, None), (4, ["of"])], "doc_id long, tokens array<string>")
     concepts = spark.createDataFrame([("of the",), ("of the sea",), ("end",), ("the end of",), ("end",), (None,)], "concept string")
