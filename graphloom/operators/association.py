@@ -51,6 +51,7 @@ def truncated_svd(cells: DataFrame, rank: int, most_nodes: int = 200_000, rounds
     on the driver; with more they are tables (:func:`graphloom.operators.factors.thin_factors`).
     """
     spark = cells.sparkSession
+    cells = materialise(cells.select("row", "col", "v"), "cells")  # read in every round
     if any(cells.select(c).distinct().limit(most_nodes + 1).count() > most_nodes for c in ("row", "col")):
         return thin_factors(cells, rank, rounds, seed)
     rows = [r["row"] for r in cells.select("row").distinct().orderBy("row").collect()]

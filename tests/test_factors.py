@@ -53,3 +53,17 @@ def test_both_ways_give_the_same_scores(spark):
 def test_nothing_to_factor(spark):
     left, right, values = factors.thin_factors(spark.createDataFrame([], "row string, col string, v double"), 3, rounds=1)
     assert left.collect() == right.collect() == [] and len(values) == 0
+
+
+def test_cells_are_worked_out_once(spark):
+    """Each row of the cells' source is read once, whatever the rounds."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    cells = spark.createDataFrame([(f"r{i}", f"c{i * j % 7}", 1.0 + i) for i in range(9) for j in range(2)], "row string, col string, v double")
+    association.truncated_svd(cells.mapInPandas(counted, cells.schema), 2)
+    assert seen.value == 18
