@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -257,3 +258,12 @@ def test_long_rings_and_paths_fold(spark, monkeypatch):
     sizes = structure.strong_components(ids, ring).groupBy("component").count().groupBy("count").agg(F.count("*").alias("n")).collect()
     assert {(r["count"], r["n"]) for r in sizes} == {(300, 1), (1, 300)}
     assert len(written) < 100
+
+
+def test_shares_are_taken_away_without_a_single_sort(spark):
+    rows = spark.createDataFrame([(f"v{i % 50}", f"v{i // 50}") for i in range(1000)] * 2, "src string, dst string")
+    out = tables.without_share(rows.distinct(), 0.2, "src", "dst", seed=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    order = sorted({tuple(r) for r in rows.collect()}, key=lambda r: (hashlib.md5(f"{r[0]}:{r[1]}:3".encode()).hexdigest(), r))
+    assert {tuple(r) for r in out.collect()} == set(order[200:])
