@@ -88,3 +88,23 @@ def test_odd_vectors(spark):
         assert V.pairs_above(empty, frame, 0.5).collect() == [] and V.pairs_above(frame, empty, 0.5).collect() == []
         assert V.nearest(frame, empty, 2).collect() == []
     assert V.top_products(frame.limit(0), frame, 3).collect() == []
+
+
+@pytest.mark.parametrize("held", [1, 200])
+def test_tasks_hold_a_bounded_number_of_products(spark, held, monkeypatch):
+    """Some rows of a block at a time give what whole blocks do."""
+    monkeypatch.setattr(V, "HELD", held)
+    x, left = made(spark, 50)
+    sims = cosines(x, x)
+    a, b, width = V.both(left, left, True, 25)
+    pairs = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1)], "a int, b int")
+
+    def work(p, q, mine, theirs, state):
+        return np.zeros(1, int), np.zeros(1, int), np.array([float(len(p) * len(q))])
+
+    assert max(r["score"] for r in V._opened(pairs, a, b, width, work).collect()) <= max(held, 25)
+    seen = V.nearest(left, left, 3, block=25).collect()
+    np.fill_diagonal(sims, -np.inf)
+    assert np.allclose(sorted(r["score"] for r in seen), np.sort(np.sort(sims, axis=1)[:, -3:].ravel()))
+    products = np.sort((x @ x.T).ravel())[-40:]
+    assert np.allclose(sorted(r["score"] for r in V.top_products(left, left, 40, block=25).collect()), products)
