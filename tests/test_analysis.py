@@ -123,3 +123,21 @@ def test_generation_resumes(spark, tmp_path):
     analysis.generated(docs.filter("id < '4'"), lambda p: [x + "!" for x in p], F.col("title"), path)
     out = analysis.generated(docs, lambda p: [x + "?" for x in p], F.col("title"), path, size=2).collect()
     assert sorted((r["id"], r["response"]) for r in out) == [(str(i), f"t{i}{'!' if i < 4 else '?'}") for i in range(10)]
+
+
+def test_quantiles_hold_no_group(spark):
+    """Quantiles of all pairs of a group, with copies and a vector without length; no task keeps the scores of a group."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 4))
+    x[5:9] = x[4]
+    x[11] = 0
+    rows = spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(40)] + [(99, 7, [1.0])], "id long, label int, embed array<double>")
+    out = analysis.similarity_quantiles(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+    got = {r["group"]: r for r in out.collect()}
+    assert set(got) == {0, 1}
+    for g in (0, 1):
+        own = [x[i] for i in range(g, 40, 2)]
+        all_ = [a @ b / np.linalg.norm(a) / np.linalg.norm(b) for i, a in enumerate(own) for b in own[:i] if a.any() and b.any()]
+        assert got[g]["n"] == 190 and np.allclose(got[g]["quantiles"], np.quantile(all_, (0.05, 0.25, 0.5, 0.75, 0.95)))
