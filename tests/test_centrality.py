@@ -61,3 +61,20 @@ def test_sources_and_empty_tables(spark):
     assert centrality.betweenness(Graph(g.vertices.limit(0), g.edges.limit(0))).count() == 0
     with pytest.raises(RuntimeError):
         centrality.path_shares(g.edges, some, most_depth=1).count()
+
+
+def test_state_is_a_row_a_vertex_for_many_sources(spark, monkeypatch):
+    """A hub over 60 leaves, all of them sources: rows are those of two turns of sources, not of each source."""
+    g = graph(spark, [("hub", f"l{i:02}") for i in range(60)])
+    rows, plain = [], centrality.materialise
+
+    def counted(frame, name="table"):
+        out = plain(frame, name)
+        if name == "level":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(centrality, "materialise", counted)
+    got = {r["id"]: r["owed"] for r in centrality.path_shares(g.edges, g.vertices.filter("id <> 'hub'").select("id")).collect()}
+    assert got == pytest.approx({"hub": 60.0 * 59, **{f"l{i:02}": 0.0 for i in range(60)}})
+    assert sum(rows) <= 2 * 2 * 61 + 60  # before: 60 sources x 61 vertices
