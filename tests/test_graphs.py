@@ -89,6 +89,15 @@ def test_census_against_all_triples(spark, n, m):
     assert {r["motif"]: r["n"] for r in structure.motif_triples(frame).groupBy("motif").agg(F.count("*").alias("n")).collect()} == want
 
 
+def test_two_sided_graphs_pair_no_links(spark, monkeypatch):
+    """20 leaves under each of 30 hubs: 600 links, no triangle, and none of 20 x 435 pairs of links is listed."""
+    listed, plain = [], structure._wedges
+    monkeypatch.setattr(structure, "_wedges", lambda out: listed.append(plain(out).count()) or plain(out))
+    frame = edges(spark, *((f"h{i:02}", f"leaf{j:02}", 1) for i in range(30) for j in range(20)), *((f"h{i:02}", f"own{i:02}_{j}", 1) for i in range(30) for j in range(20)))
+    assert sum(r["n"] for r in structure.motif_census(frame).collect()) == 20 * 435 + 30 * 780
+    assert listed == [0]
+
+
 def test_census_of_a_hub(spark):
     """Two hundred thousand leaves have 2e10 pairs, of which none is listed; one pair of leaves closes a triangle."""
     leaves = spark.range(200_000).select(F.lit("hub").alias("src"), F.concat(F.lit("v"), "id").alias("dst"), F.lit(1.0).alias("weight"))
@@ -267,3 +276,12 @@ def test_shares_are_taken_away_without_a_single_sort(spark):
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
     order = sorted({tuple(r) for r in rows.collect()}, key=lambda r: (hashlib.md5(f"{r[0]}:{r[1]}:3".encode()).hexdigest(), r))
     assert {tuple(r) for r in out.collect()} == set(order[200:])
+
+
+def test_small_tables_with_much_work_are_dealt(spark):
+    """The sentences of a supplier table of one small file are more than one task."""
+    from helpers import SMALL
+
+    from graphloom.plans import whole_queries
+
+    assert whole_queries.tagged_rules(spark, SMALL).rdd.getNumPartitions() >= 32
