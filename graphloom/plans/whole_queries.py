@@ -10,7 +10,7 @@ from graphloom.graph import Graph
 from graphloom.operators import association, centrality, concepts, metrics, pairs, sampling, structure, traverse, vectors
 from graphloom.plans import fixtures as X
 from graphloom.plans.queries import _CENSUS, _cells, _COSINE, _six, _vectors, query
-from graphloom.runtime import materialise
+from graphloom.runtime import materialise, spread
 
 # concepts ------------------------------------------------------------------------
 
@@ -268,7 +268,7 @@ _RULE_ROWS = ", ".join(f"({k}, '{a}', '{b}', '{rule}')" for k, (_, found) in enu
 def tagged_rules(spark, d):
     """Every rule over tagged tokens, each with near misses beside it."""
     rows = F.array(*[F.struct(F.lit(k).alias("sentence"), F.array(*map(_token, text.split())).alias("tokens")) for k, (text, _) in enumerate(_sentences())])
-    sentences = X.table(spark, d, "supplier").select("s_suppkey", F.inline(rows))
+    sentences = spread(X.table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey").select("s_suppkey", F.inline(rows))
     return sentences.select("s_suppkey", "sentence", F.inline(hearst.tagged_pairs(F.col("tokens"))))
 
 
