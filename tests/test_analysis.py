@@ -141,3 +141,24 @@ def test_quantiles_hold_no_group(spark):
         own = [x[i] for i in range(g, 40, 2)]
         all_ = [a @ b / np.linalg.norm(a) / np.linalg.norm(b) for i, a in enumerate(own) for b in own[:i] if a.any() and b.any()]
         assert got[g]["n"] == 190 and np.allclose(got[g]["quantiles"], np.quantile(all_, (0.05, 0.25, 0.5, 0.75, 0.95)))
+
+
+def test_nearest_edges_by_vectors_list_no_pairs(spark, monkeypatch):
+    """40 equal vectors beside others: as by the similar titles, in blocks of any size, while no table holds more than the edges."""
+    from graphloom.operators import similarity
+
+    vectors = spark.createDataFrame([(f"t{i:02}", [1.0, 2.0, 0.5] if i < 40 else [float(i % 5), 1.0 - i % 3, float(i % 7) - 2]) for i in range(60)] + [("zero", [0.0] * 3), ("none", None)], "title string, embed array<double>")
+    a = spark.createDataFrame([(f"t{i:02}", f"t{(i * 7 + 1) % 60:02}") for i in range(0, 60, 2)] + [("zero", "t01"), ("none", "t02")], "src string, dst string")
+    b = spark.createDataFrame([(f"t{i:02}", f"t{(i * 11 + 3) % 60:02}") for i in range(60)], "src string, dst string")
+    v = vectors.withColumnRenamed("title", "id")
+    rows = lambda f: sorted((r["src"], r["dst"], r["place"], r["near_src"], r["near_dst"], round(r["score"], 9)) for r in f.collect())
+    similar = similarity.pairs_above(v, v, 0.2).withColumn("score", F.round("score", 12))
+    want = rows(analysis.nearest_edges(a, b, similar))
+    written, plain = [], analysis.materialise
+    monkeypatch.setattr(analysis, "materialise", lambda f, name="table": written.append((out := plain(f, name)).count()) or out)
+    assert len(want) > 100
+    for block in (None, 7):
+        assert rows(analysis.nearest_edges_above(a, b, vectors, 0.2, block=block)) == want
+    assert max(written) <= 62
+    assert analysis.nearest_edges_above(a.limit(0), b, vectors, 0.2).count() == 0
+    assert analysis.nearest_edges_above(a, b.limit(0), vectors, 0.2).count() == 0
