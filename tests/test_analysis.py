@@ -162,3 +162,20 @@ def test_nearest_edges_by_vectors_list_no_pairs(spark, monkeypatch):
     assert max(written) <= 62
     assert analysis.nearest_edges_above(a.limit(0), b, vectors, 0.2).count() == 0
     assert analysis.nearest_edges_above(a, b.limit(0), vectors, 0.2).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_quantiles_write_no_pairs(spark, monkeypatch, block):
+    """Parts of groups meet in tasks: no table holds more rows than there are vectors, ranges or wanted places; equal ids, widths, nulls and zero vectors as before."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, rng.normal(size=5).tolist()) for i in range(150)] + [(4, 1, [1.0] * 5), (4, 1, [2.0] * 5), (7, 1, [0.0] * 5), (200, 1, [1.0, 2.0]), (201, 1, [2.0, 1.0]), (202, 1, None), (203, 1, [1.0, None]), (300, None, [1.0]), (None, 1, [1.0])]
+    kept, write = {}, analysis.materialise
+    monkeypatch.setattr(analysis, "materialise", lambda f, name: kept.setdefault(name, write(f, name)))
+    got = {r["group"]: r for r in analysis.similarity_quantiles(spark.createDataFrame(rows, "id long, label int, embed array<double>"), (0.0, 0.3, 0.5, 1.0), block=block).collect()}
+    assert set(got) == {0, 1, 2}
+    for g in range(3):
+        own = sorted((r for r in rows if r[1] == g and r[0] is not None), key=lambda r: r[0])
+        pairs = [(x, y) for k, (a, _, x) in enumerate(own) for b, _, y in own[k + 1 :] if a < b]
+        sims = [np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) for x, y in pairs if x and y and None not in x + y and any(x) and any(y) and len(x) == len(y)]
+        assert got[g]["n"] == len(pairs) and np.allclose(got[g]["quantiles"], np.quantile(sims, (0.0, 0.3, 0.5, 1.0)), atol=1e-12)
+    assert "pairs" not in kept and kept["unit"].count() <= len(rows)
