@@ -2,12 +2,14 @@
 
 import hashlib
 import inspect
+import random
 
 import numpy as np
 import pytest
 from helpers import SMALL
 from pyspark.sql import functions as F
 
+from graphloom.functions import md5
 from graphloom.operators import pairs, sampling, tables
 from graphloom.plans import whole_queries as W
 
@@ -120,3 +122,29 @@ def test_negative_pairs_list_only_what_may_be_first(spark, monkeypatch, n):
     sizes = [f.count() for name, f in kept if name == "below"]
     assert sizes[0] < 4000 or n > 4000
     assert "most_nodes" not in inspect.signature(tables.negative_pairs).parameters
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_beginnings_of_hashes(monkeypatch, few):
+    """Starts and ends of all lengths over one, two and more blocks."""
+    monkeypatch.setattr(md5, "FEW", few)
+    rng = random.Random(1)
+    for begin in (*range(70), 118, 119, 120, 127, 200):
+        for end in (0, 1, 4, 5, 27, 55, 64, 100):
+            start, ends = rng.randbytes(begin), [rng.randbytes(end) for _ in range(3)]
+            assert md5.Ends(ends, b":0").heads(start).tolist() == [int(hashlib.md5(start + e + b":0").hexdigest()[:8], 16) for e in ends]
+
+
+def test_negative_pairs_are_hashed_in_packs(spark, monkeypatch):
+    """Titles of many lengths, empty, null and beyond ASCII: the first pairs by hash order, which no plan hashes pair by pair."""
+    monkeypatch.setattr(tables, "PACK", 64)
+    monkeypatch.setattr(md5, "FEW", 4)
+    names = ["x" * (k % 9) + str(k) for k in range(150)] + ["", "é☃" * 30, None]
+    order = [(hashlib.md5(":".join(x for x in (a, b, "7") if x is not None).encode()).hexdigest(), a, b) for a in names for b in names]
+    order = sorted(order, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2] or ""))
+    edges = [p[1:] for p in order[:40] if None not in p]
+    plans, write = [], tables.materialise
+    monkeypatch.setattr(tables, "materialise", lambda f, name: plans.append((name, f._jdf.queryExecution().toString())) or write(f, name))
+    got = [tuple(r) for r in tables.negative_pairs(spark.createDataFrame([(x,) for x in names], "title string"), spark.createDataFrame(edges, "src string, dst string"), 120, seed=7).collect()]
+    assert got == [p[1:] for p in order if p[1:] not in edges][:120]
+    assert any("MapInArrow" in plan for name, plan in plans if name == "below")
