@@ -108,3 +108,14 @@ def test_tasks_hold_a_bounded_number_of_products(spark, held, monkeypatch):
     assert np.allclose(sorted(r["score"] for r in seen), np.sort(np.sort(sims, axis=1)[:, -3:].ravel()))
     products = np.sort((x @ x.T).ravel())[-40:]
     assert np.allclose(sorted(r["score"] for r in V.top_products(left, left, 40, block=25).collect()), products)
+
+
+def test_blocks_are_not_copied_for_each_pair(spark, monkeypatch):
+    """A block is sent once for each row or column of cells; before, once for each block that it meets."""
+    x, left = made(spark, 400)
+    sent, plain = [], type(left).mapInArrow
+    monkeypatch.setattr(type(left), "mapInArrow", lambda self, task, schema: sent.append((schema, self)) or plain(self, task, schema))
+    got = V.pairs_above(left, left, -1.0, block=8)
+    assert got.count() == 400 * 400
+    blocks = next(f for schema, f in reversed(sent) if schema.startswith("a bigint, b bigint"))
+    assert blocks.count() < 50 * 2 * 8
