@@ -179,3 +179,16 @@ def test_quantiles_write_no_pairs(spark, monkeypatch, block):
         sims = [np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) for x, y in pairs if x and y and None not in x + y and any(x) and any(y) and len(x) == len(y)]
         assert got[g]["n"] == len(pairs) and np.allclose(got[g]["quantiles"], np.quantile(sims, (0.0, 0.3, 0.5, 1.0)), atol=1e-12)
     assert "pairs" not in kept and kept["unit"].count() <= len(rows)
+
+
+def test_ward_writes_no_pairs_of_blocks(spark, monkeypatch):
+    """Nearest clusters come as a row for each cluster; what a pair of parts finds is merged without being written."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(60, 4))
+    points[5] = points[4]
+    kept, write = [], analysis.materialise
+    monkeypatch.setattr(analysis, "materialise", lambda f, name: kept.append((name, write(f, name))) or kept[-1][1])
+    got = {r["id"]: r["cluster"] for r in analysis.ward_clusters(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embed array<double>"), 5, alone=16).collect()}
+    assert got == dict(enumerate(analysis.cut(analysis.ward(points), 60, 5)))
+    assert {name for name, _ in kept} == {"near", "merges", "clusters"}
+    assert all(f.count() <= 60 for _, f in kept)
